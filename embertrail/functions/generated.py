@@ -64,4 +64,4 @@ def parse_confidence(text: Column) -> Column:
     """A share between 0 and 1; values above 1 are percentages; unreadable text gives 0.7."""
     number = F.replace(strip_space(text), F.lit("%"), F.lit("")).try_cast("double")
     share = F.when(number > 1, number / 100).otherwise(number)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), F.lit(0.7))
+    return F.when(number.isNull(), F.lit(0.7)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))

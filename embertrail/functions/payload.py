@@ -1,49 +1,57 @@
 """Reading loosely typed JSON payloads held as VARIANT.
 
-Alias chains skip *falsy* values (missing, null, "", 0, false, [], {}), not only nulls, so every lookup looks at the
-value's JSON type next to its text.
+Alias chains skip *falsy* values (missing, null, "", 0, false, [], {}), not only nulls. A value's text does not tell the
+number 0 from the text "0", so short values are looked at in their JSON form; long ones need no second look.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-
-def _path(key: str) -> str:
-    return f"$['{key}']"
+# The JSON forms of everything that counts as absent.
+FALSY_JSON = r'^(""|null|false|\[\]|\{\}|-?0(\.0*)?([eE].*)?)$'
+_LONGEST_FALSY = 8
 
 
 def raw_field(payload: Column, key: str) -> Column:
     """The value under `key` as VARIANT; SQL NULL only when the key is absent."""
-    return F.try_variant_get(payload, _path(key), "variant")
-
-
-def text_field(payload: Column, key: str) -> Column:
-    """The value under `key` as text, NULL when absent or JSON null; booleans print capitalized."""
-    text = F.try_variant_get(payload, _path(key), "string")
-    kind = F.schema_of_variant(raw_field(payload, key))
-    return F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+    return F.try_variant_get(payload, f"$['{key}']", "variant")
 
 
 def has_key(payload: Column, key: str) -> Column:
     return raw_field(payload, key).isNotNull()
 
 
+def _plain(payload: Column, key: str) -> Column:
+    return F.try_variant_get(payload, f"$['{key}']", "string")
+
+
+def _named_boolean(value: Column) -> Column:
+    names = F.create_map(F.lit("true"), F.lit("True"), F.lit("false"), F.lit("False"))
+    return F.try_element_at(names, F.to_json(value))
+
+
+def text_field(payload: Column, key: str) -> Column:
+    """The value under `key` as text, NULL when absent or JSON null; booleans print capitalized."""
+    text = _plain(payload, key)
+    return F.when(F.length(text) > 5, text).otherwise(F.coalesce(_named_boolean(raw_field(payload, key)), text))
+
+
 def truthy_field(payload: Column, key: str) -> Column:
     """The value under `key` as text, NULL when it is falsy. A single space counts as a value."""
-    text = F.try_variant_get(payload, _path(key), "string")
-    kind = F.schema_of_variant(raw_field(payload, key))
-    is_text = kind == "STRING"
-    empty_container = ~is_text & text.isin("[]", "{}")
-    zero = ~is_text & text.rlike(r"^-?0+(\.0+)?([eE].*)?$")
-    return (
-        F.when(text.isNull() | (text == "") | empty_container | zero, F.lit(None).cast("string"))
-        .when((kind == "BOOLEAN") & (text == "false"), F.lit(None).cast("string"))
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .otherwise(text)
+    text = _plain(payload, key)
+    value = raw_field(payload, key)
+    return F.when(F.length(text) > _LONGEST_FALSY, text).when(
+        ~F.to_json(value).rlike(FALSY_JSON), F.coalesce(_named_boolean(value), text)
     )
 
 
+def truthy_value(payload: Column, key: str) -> Column:
+    """The value under `key` as VARIANT, NULL when it is falsy."""
+    value = raw_field(payload, key)
+    return F.when(~F.to_json(value).rlike(FALSY_JSON), value)
+
+
 def first_truthy(payload: Column, *keys: str) -> Column:
     return F.coalesce(*[truthy_field(payload, key) for key in keys])
 
@@ -66,35 +74,16 @@ def log_id(payload_json: Column, message: Column) -> Column:
     return F.concat(content_hash(payload_json, 12), F.lit("-"), content_hash(message, 4))
 
 
-def string_list(payload: Column, key: str) -> Column:
-    """Array of texts from a JSON list, a text holding a JSON list, a comma-separated text, or a scalar."""
-    text = text_field(payload, key)
-    kind = F.schema_of_variant(raw_field(payload, key))
-    trimmed = F.btrim(text)
-    none = F.array().cast("array<string>")
-
-    def listed(value: Column) -> Column:
-        named = F.transform(value, lambda item: F.coalesce(item, F.lit("None")))
-        return F.filter(named, lambda item: F.btrim(item) != "")
-
-    from_list = F.try_variant_get(payload, _path(key), "array<string>")
-    from_json_text = F.try_variant_get(F.try_parse_json(trimmed), "$", "array<string>")
-    by_comma = F.filter(F.transform(F.split(trimmed, ","), lambda item: F.btrim(item)), lambda item: item != "")
-    return (
-        F.when(text.isNull() | (trimmed == ""), none)
-        .when(kind.startswith("ARRAY"), listed(from_list))
-        .when(kind != "STRING", F.array(text))
-        .when(trimmed.startswith("["), F.coalesce(listed(from_json_text), by_comma))
-        .otherwise(by_comma)
-    )
-
-
-def first_truthy_list(payload: Column, *keys: str) -> Column:
-    """`string_list` of the first alias holding a truthy value."""
-    chosen = F.array().cast("array<string>")
-    for key in reversed(keys):
-        chosen = F.when(truthy_field(payload, key).isNotNull(), string_list(payload, key)).otherwise(chosen)
-    return chosen
+def string_list(value: Column) -> Column:
+    """Array of texts from a VARIANT holding a list, a text with a JSON list, a comma-separated text, or a scalar."""
+    text = F.btrim(F.try_variant_get(value, "$", "string"))
+    kind = F.schema_of_variant(value)
+    listed = F.when(kind.startswith("ARRAY"), value).when((kind == "STRING") & text.startswith("["), F.try_parse_json(text))
+    items = F.transform(F.try_variant_get(listed, "$", "array<string>"), lambda item: F.coalesce(item, F.lit("None")))
+    by_comma = F.transform(F.split(text, ","), lambda item: F.btrim(item))
+    scalar = F.when(kind != "STRING", F.array(F.coalesce(_named_boolean(value), text)))
+    every = F.coalesce(items, scalar, by_comma, F.array().cast("array<string>"))
+    return F.filter(every, lambda item: F.btrim(item) != "")
 
 
 def json_text_list(text: Column) -> Column:

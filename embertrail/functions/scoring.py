@@ -31,8 +31,8 @@ def percent_change(before: Column, after: Column) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Text with `digits` decimals; exact ties go to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+    """Text with `digits` decimals, NULL for NULL; exact ties go to the even digit."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", F.bround(value, digits)))
 
 
 def percent_text(value: Column) -> Column:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
-from embertrail.functions.payload import truthy_field
+from embertrail.functions.payload import first_truthy
 
 # Where a service name may stand in a message (tried in this order), and words that are never one.
 SERVICE_PATTERNS = (
@@ -16,6 +14,7 @@ SERVICE_PATTERNS = (
     r"(?U)^([A-Za-z0-9._-]+)\s*[:|-]",
 )
 NOT_SERVICES = ("info", "warn", "warning", "error", "debug", "trace", "stdout", "stderr")
+_NAME = rf"^(?!(?:{'|'.join(NOT_SERVICES)})\z)[a-z0-9._-]{{1,64}}\z"
 
 
 def strip_space(text: Column) -> Column:
@@ -25,8 +24,7 @@ def strip_space(text: Column) -> Column:
 def clean_service(text: Column) -> Column:
     """Lower-cased name without brackets, or NULL when it cannot be a service name."""
     name = F.lower(F.btrim(strip_space(text), F.lit("[](){}")))
-    usable = (F.length(name) <= 64) & name.rlike(r"^[a-z0-9._-]+\z") & ~name.isin(*NOT_SERVICES)
-    return F.when(usable, name)
+    return F.when(name.rlike(_NAME), name)
 
 
 def service_from_message(message: Column) -> Column:
@@ -35,5 +33,4 @@ def service_from_message(message: Column) -> Column:
 
 def infer_service(payload: Column, message: Column) -> Column:
     """From the logger or component field, else from the message text."""
-    named = reduce(lambda a, b: F.coalesce(a, b), [truthy_field(payload, key) for key in ("logger", "component")])
-    return F.coalesce(clean_service(named), service_from_message(message))
+    return F.coalesce(clean_service(first_truthy(payload, "logger", "component")), service_from_message(message))

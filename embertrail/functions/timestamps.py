@@ -13,22 +13,22 @@ _FULL = (
 )
 
 
-def parse_timestamp(text: Column) -> Column:
-    value = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-
+def _rebuilt(value: Column) -> Column:
     def part(group: int, default: str) -> Column:
-        found = F.regexp_extract(value, _FULL, group)
-        return F.when(found == "", F.lit(default)).otherwise(found)
+        return F.coalesce(F.nullif(F.regexp_extract(value, _FULL, group), F.lit("")), F.lit(default))
 
-    rebuilt = F.concat(
+    return F.concat(
         part(1, ""), F.lit("-"), part(3, ""), F.lit("-"), part(4, ""), F.lit(" "),
         part(5, "00"), F.lit(":"), part(6, "00"), F.lit(":"), part(7, "00"), F.lit("."), part(8, "0"),
         part(9, "+00"), F.lit(":"), part(10, "00"),
     )
-    return (
-        F.when(value.rlike(_PLAIN), value.try_cast("timestamp"))
-        .when(value.rlike(_FULL), rebuilt.try_cast("timestamp"))
-    )
+
+
+def parse_timestamp(text: Column) -> Column:
+    """The usual form is cast directly; only other texts are taken apart (once, inside a lambda)."""
+    value = F.replace(text, F.lit("Z"), F.lit("+00:00"))
+    taken_apart = F.get(F.transform(F.array(value), lambda v: F.when(v.rlike(_FULL), _rebuilt(v))), F.lit(0))
+    return F.when(value.rlike(_PLAIN), value.try_cast("timestamp")).otherwise(taken_apart.try_cast("timestamp"))
 
 
 def timestamp_text(ts: Column) -> Column:

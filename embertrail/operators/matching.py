@@ -96,7 +96,7 @@ def best_matches(
     if pairs_of is None:
         return left.select("cluster_id", F.col("cluster_id").alias("matched_id"), F.col("log_count").alias("matched_size"), F.lit(0.0).alias("score")).limit(0)
     rows = tile_rows_between(*pairs_of)
-    found = per_tile(rows, _best_work(threshold), "cluster_id long, score double, matched_id long, matched_size long")
+    found = per_tile(rows, _best_work(threshold), "cluster_id long, score double, matched_id long, matched_size long", one_table=False)
     best = top_rows(found, ["cluster_id"], [F.desc("score"), F.desc("matched_size"), F.asc("matched_id")], 1)
     return best.select("cluster_id", "matched_id", "matched_size", "score")
 

@@ -12,6 +12,15 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 500_000
 
 
+def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later filters and projections read instead of repeating.
+
+    The optimizer inlines a plain projected expression wherever a filter above uses it, which would parse a JSON text
+    once per looked-up key. Columns coming out of a generator are evaluated once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of the rows as held in memory, from one pass over the columns' lengths."""
     widths = []

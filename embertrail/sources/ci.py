@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from embertrail.functions import payload as P
 from embertrail.functions.signatures import ci_signature
 from embertrail.functions.timestamps import parse_timestamp
+from embertrail.operators.scale import evaluate_once
 from embertrail.sources.logs import _linked_columns, split_valid
 from embertrail.sources.payloads import read_payloads
 
@@ -32,27 +33,24 @@ def normalize_ci(records: DataFrame, job_time: Column) -> tuple[DataFrame, DataF
     message = F.coalesce(
         P.first_truthy(payload, "message", "failure_message", "log", "error", "conclusion"), F.lit("CI failure")
     )
-    rows = valid.withColumn("message", message).withColumn("test_name", P.text_field(payload, "test_name")).withColumn(
-        "workflow", P.text_field(payload, "workflow")
+    rows = evaluate_once(
+        valid, message=message, test_name=P.text_field(payload, "test_name"), workflow=P.text_field(payload, "workflow"),
+        time_text=P.first_truthy(payload, "timestamp", "started_at", "completed_at", "created_at"),
     )
-    default_signature = ci_signature(
-        P.truthy_field(payload, "test_name"), P.truthy_field(payload, "workflow"), F.col("message")
-    )
-    rows = rows.withColumn(
-        "failure_signature",
-        F.when(P.has_key(payload, "failure_signature"), P.truthy_field(payload, "failure_signature")).otherwise(default_signature),
-    ).withColumn(
-        "raw",
-        _with_defaults(
+    test_name, workflow = F.nullif("test_name", F.lit("")), F.nullif("workflow", F.lit(""))
+    rows = evaluate_once(rows, signature=ci_signature(test_name, workflow, F.col("message")))
+    stated = P.truthy_field(payload, "failure_signature")
+    rows = evaluate_once(
+        rows, failure_signature=F.when(P.has_key(payload, "failure_signature"), stated).otherwise(F.col("signature")),
+        raw=_with_defaults(
             payload,
             forced={"source_type": F.lit("ci")},
             defaults={
-                "service": F.lit("ci"), "level": F.lit("ERROR"), "message": F.col("message"),
-                "failure_signature": default_signature,
+                "service": F.lit("ci"), "level": F.lit("ERROR"), "message": F.col("message"), "failure_signature": F.col("signature"),
             },
         ),
     )
-    when = parse_timestamp(P.first_truthy(payload, "timestamp", "started_at", "completed_at", "created_at"))
+    when = parse_timestamp(F.col("time_text"))
     logs = rows.select(
         F.concat(F.lit("ci-"), P.content_hash(F.col("raw"), 16)).alias("log_id"),
         F.coalesce(when, job_time).alias("ts"),
@@ -91,9 +89,11 @@ def failures_from_runs(runs: DataFrame, jobs: DataFrame, limit: int | None = Non
         "jobs_url", P.truthy_field(run, "jobs_url")
     )
     failed_jobs = jobs.select("jobs_url", F.col("payload").alias("job")).filter(_failed(P.text_field(job, "conclusion")))
-    joined = failed_runs.join(failed_jobs, "jobs_url", "left")
-    workflow = P.first_truthy(run, "name", "display_title")
-    job_name = P.truthy_field(job, "name")
+    joined = evaluate_once(
+        failed_runs.join(failed_jobs, "jobs_url", "left"), workflow=P.first_truthy(run, "name", "display_title"),
+        job_name=P.truthy_field(job, "name"),
+    )
+    workflow, job_name = F.col("workflow"), F.col("job_name")
     whose = F.coalesce(workflow, F.lit("workflow"))
     message = F.when(job_name.isNotNull(), F.concat(job_name, F.lit(" failed in "), whose)).otherwise(
         F.concat(whose, F.lit(" failed"))
@@ -121,8 +121,5 @@ def failures_from_runs(runs: DataFrame, jobs: DataFrame, limit: int | None = Non
         F.lit("ci").alias("source_type"),
         F.lit("github_actions").alias("provider"),
     )
-    text = F.to_json(record)
-    return joined.select(
-        F.lit("workflow runs").alias("source"), text.alias("record_text"), F.try_parse_json(text).alias("payload"),
-        F.lit(None).cast("string").alias("problem"),
-    )
+    texts = joined.select(F.lit("workflow runs").alias("source"), F.to_json(record).alias("record_text"))
+    return evaluate_once(texts, payload=F.try_parse_json("record_text")).withColumn("problem", F.lit(None).cast("string"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from embertrail.functions import payload as P
 from embertrail.functions.timestamps import parse_timestamp
+from embertrail.operators.scale import evaluate_once
 from embertrail.sources.logs import SERVICE_KEYS, split_valid
 from embertrail.sources.payloads import read_payloads
 
@@ -13,17 +14,21 @@ from embertrail.sources.payloads import read_payloads
 def normalize_deploys(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(deploys, rejected): a usable time and a service are required."""
     payload = F.col("payload")
-    named = records.withColumn(
-        "deployed_at", parse_timestamp(P.first_truthy(payload, "deployed_at", "timestamp", "time", "@timestamp"))
-    ).withColumn("service", P.first_truthy(payload, *SERVICE_KEYS))
+    files = F.coalesce(*[P.truthy_value(payload, key) for key in ("changed_files", "files", "modified_files")])
+    named = evaluate_once(
+        records, time_text=P.first_truthy(payload, "deployed_at", "timestamp", "time", "@timestamp"),
+        service=P.first_truthy(payload, *SERVICE_KEYS),
+    )
+    named = evaluate_once(named, deployed_at=parse_timestamp(F.col("time_text")))
     problem = F.when(F.col("deployed_at").isNull(), F.lit("no valid deploy time")).when(
         F.col("service").isNull(), F.lit("no service field")
     )
     valid, rejected = split_valid(named.withColumn("problem", F.coalesce("problem", problem)))
-    commit = P.first_truthy_or_last(payload, "commit_sha", "sha", "commit")
-    raw = P.canonical_json(payload)
+    valid = evaluate_once(
+        valid, commit_sha=P.first_truthy_or_last(payload, "commit_sha", "sha", "commit"), raw=P.canonical_json(payload), files=files
+    )
     identifier = F.coalesce(
-        P.first_truthy(payload, "id", "deployment_id"), F.nullif(commit, F.lit("")), P.content_hash(raw, 16)
+        P.first_truthy(payload, "id", "deployment_id"), F.nullif("commit_sha", F.lit("")), P.content_hash(F.col("raw"), 16)
     )
     deploys = valid.select(
         identifier.alias("deploy_id"),
@@ -31,12 +36,12 @@ def normalize_deploys(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         "service",
         P.first_truthy_or_last(payload, "version", "release", "build").alias("version"),
         P.first_truthy_or_last(payload, "environment", "env").alias("environment"),
-        commit.alias("commit_sha"),
+        "commit_sha",
         P.first_truthy_or_last(payload, "branch", "ref").alias("branch"),
-        P.first_truthy_list(payload, "changed_files", "files", "modified_files").alias("changed_files"),
+        P.string_list(F.col("files")).alias("changed_files"),
         P.first_truthy_or_last(payload, "repo_url", "repository", "html_url").alias("repo_url"),
         P.first_truthy_or_last(payload, "provider", "source").alias("provider"),
-        raw.alias("raw"),
+        "raw",
     )
     return deploys, rejected.select("source", "record_text", "problem")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from embertrail.functions import payload as P
 from embertrail.functions.services import infer_service, service_from_message, strip_space
 from embertrail.functions.timestamps import parse_timestamp
+from embertrail.operators.scale import evaluate_once
 from embertrail.schemas import LOGS
 from embertrail.sources.lines import number_lines, text_lines
 from embertrail.sources.payloads import format_of, read_payloads
@@ -22,7 +23,7 @@ def _linked_columns(payload: Column) -> list[Column]:
         P.text_field(payload, "deploy_id").alias("deploy_id"),
         P.first_truthy_or_last(payload, "commit_sha", "sha").alias("commit_sha"),
         P.text_field(payload, "branch").alias("branch"),
-        P.string_list(payload, "changed_files").alias("changed_files"),
+        P.string_list(P.raw_field(payload, "changed_files")).alias("changed_files"),
     ]
 
 
@@ -34,18 +35,18 @@ def split_valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def normalize_logs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(logs, rejected) from payload rows."""
     payload = F.col("payload")
-    named = records.withColumn("message", P.first_truthy(payload, *MESSAGE_KEYS)).withColumn(
+    named = evaluate_once(records, message=P.first_truthy(payload, *MESSAGE_KEYS)).withColumn(
         "problem", F.coalesce("problem", F.when(F.col("message").isNull(), F.lit("no message field")))
     )
     valid, rejected = split_valid(named)
-    raw = P.canonical_json(payload)
+    valid = evaluate_once(valid, raw=P.canonical_json(payload), time_text=P.first_truthy(payload, *TIME_KEYS))
     logs = valid.select(
-        P.log_id(raw, F.col("message")).alias("log_id"),
-        parse_timestamp(P.first_truthy(payload, *TIME_KEYS)).alias("ts"),
+        P.log_id(F.col("raw"), F.col("message")).alias("log_id"),
+        parse_timestamp(F.col("time_text")).alias("ts"),
         F.coalesce(P.first_truthy(payload, *SERVICE_KEYS), infer_service(payload, F.col("message"))).alias("service"),
         P.first_truthy_or_last(payload, "level", "severity").alias("level"),
         "message",
-        raw.alias("raw"),
+        "raw",
         *_linked_columns(payload),
     )
     return logs, rejected.select("source", "record_text", "problem")
@@ -82,26 +83,27 @@ def normalize_live_lines(lines: DataFrame, arrived_at: Column, service: str | No
     The arrival time and the given service fill a field only where the payload lacks its key; a given session id always
     wins. Ids hash `(source, line_no, line)`, so replaying a line gives the same row.
     """
-    line = strip_space(F.col("line"))
+    line = F.col("line")
     parsed = F.when(line.startswith("{"), F.try_parse_json(line))
     text_object = F.to_json(F.struct(line.alias("message")))
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    rows = lines.filter(line != "").withColumn("line", line).withColumn(
-        "payload", F.when(is_object, parsed).otherwise(F.try_parse_json(text_object))
-    )
+    is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
     payload = F.col("payload")
-    rows = rows.withColumn("message", P.first_truthy(payload, *MESSAGE_KEYS)).filter(F.col("message").isNotNull())
-    stamped = parse_timestamp(P.first_truthy(payload, *TIME_KEYS))
-    given = F.lit(service).cast("string")
-    named = F.coalesce(P.first_truthy(payload, *SERVICE_KEYS), infer_service(payload, F.col("message")))
+    rows = evaluate_once(lines.withColumn("line", strip_space(F.col("line"))).filter(F.col("line") != ""), parsed=parsed)
+    rows = evaluate_once(rows, payload=F.when(is_object, F.col("parsed")).otherwise(F.try_parse_json(text_object)))
+    rows = evaluate_once(rows, message=P.first_truthy(payload, *MESSAGE_KEYS)).filter(F.col("message").isNotNull())
+    rows = evaluate_once(
+        rows, time_text=P.first_truthy(payload, *TIME_KEYS),
+        named=F.coalesce(P.first_truthy(payload, *SERVICE_KEYS[1:]), infer_service(payload, F.col("message"))),
+    )
+    given = F.when(P.has_key(payload, "service"), F.lit(None).cast("string")).otherwise(F.lit(service).cast("string"))
     identity = F.concat_ws("\u001f", "source", F.col("line_no").cast("string"), "line")
     linked = _linked_columns(payload)
     if session_id is not None:
         linked[0] = F.lit(session_id).cast("bigint").alias("session_id")
     return rows.select(
         P.log_id(identity, F.col("message")).alias("log_id"),
-        F.when(P.has_key(payload, "timestamp"), stamped).otherwise(arrived_at).alias("ts"),
-        (F.when(~P.has_key(payload, "service"), F.coalesce(given, named)).otherwise(named) if service else named).alias("service"),
+        F.when(P.has_key(payload, "timestamp"), parse_timestamp(F.col("time_text"))).otherwise(arrived_at).alias("ts"),
+        F.coalesce(P.truthy_field(payload, "service"), given, F.col("named")).alias("service"),
         P.first_truthy_or_last(payload, "level", "severity").alias("level"),
         "message",
         P.canonical_json(payload).alias("raw"),

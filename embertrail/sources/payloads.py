@@ -9,6 +9,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from embertrail.functions.payload import truthy_value
+from embertrail.operators.scale import evaluate_once
 from embertrail.sources.lines import is_blank
 
 _NULL_MARK = "\u0000"
@@ -33,7 +35,7 @@ def _checked(records: DataFrame) -> DataFrame:
 def payloads_from_text(records: DataFrame, text: str = "value") -> DataFrame:
     """One JSON record per row of text; blank rows are skipped."""
     kept = records.filter(~is_blank(F.col(text)))
-    return _checked(kept.withColumn("payload", F.try_parse_json(text)).withColumnRenamed(text, "record_text"))
+    return _checked(evaluate_once(kept, payload=F.try_parse_json(text)).withColumnRenamed(text, "record_text"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -48,16 +50,12 @@ def read_json_documents(spark: SparkSession, path: str, list_keys: tuple[str, ..
     documents = spark.read.text(path, wholetext=True, **options).select(
         F.col("_metadata.file_path").alias("source"), F.col("value").alias("record_text")
     )
-    return explode_documents(documents.withColumn("document", F.try_parse_json("record_text")), list_keys)
+    return explode_documents(evaluate_once(documents, document=F.try_parse_json("record_text")), list_keys)
 
 
 def explode_documents(documents: DataFrame, list_keys: tuple[str, ...] = ()) -> DataFrame:
-    from embertrail.functions.payload import raw_field, truthy_field
-
     document = F.col("document")
-    inner = F.lit(None).cast("variant")
-    for key in reversed(list_keys):
-        inner = F.when(truthy_field(document, key).isNotNull(), raw_field(document, key)).otherwise(inner)
+    inner = F.coalesce(*[truthy_value(document, key) for key in list_keys], F.lit(None).cast("variant"))
     inner_is_list = F.coalesce(F.schema_of_variant(inner).startswith("ARRAY"), F.lit(False))
     records = F.when(F.schema_of_variant(document).startswith("ARRAY"), document).when(inner_is_list, inner)
     as_list = F.try_variant_get(records, "$", "array<variant>")
@@ -77,9 +75,10 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
     rows = spark.read.schema(layout).option("columnNameOfCorruptRecord", "_extra").options(**options).csv(path)
     overfull = F.col("_extra").isNotNull() & F.col(header[-1]).isNotNull()
     text = F.to_json(F.struct(*[F.col(f"`{name}`") for name in header]))
-    parsed = rows.select(
+    texts = rows.select(
         F.col("_metadata.file_path").alias("source"), text.alias("record_text"), overfull.alias("overfull")
-    ).withColumn("payload", F.try_parse_json("record_text"))
+    )
+    parsed = evaluate_once(texts, payload=F.try_parse_json("record_text"))
     return parsed.select(
         "source", "record_text", "payload", F.when(F.col("overfull"), "more fields than the header").alias("problem")
     )

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from embertrail.functions.payload import first_truthy, first_truthy_or_last, json_text_list, string_list
+from embertrail.functions.payload import first_truthy, first_truthy_or_last, json_text_list, raw_field, string_list
 from embertrail.functions.services import clean_service
 from embertrail.functions.signatures import message_signature
 from embertrail.functions.timestamps import parse_timestamp, timestamp_text
@@ -55,7 +55,7 @@ def test_timestamps_are_read_leniently_and_in_utc(spark):
 def test_changed_files_from_every_shape(spark):
     texts = ['{"f":["a"," ","b",3]}', '{"f":"[\\"a\\", \\"b\\"]"}', '{"f":"a, b,,c "}', '{"f":5}', '{"f":""}', '{}', '{"f":"[broken"}',
              '{"f":null}']
-    got = [r[0] for r in variants(spark, texts).select(string_list(F.col("payload"), "f")).collect()]
+    got = [r[0] for r in variants(spark, texts).select(string_list(raw_field(F.col("payload"), "f"))).collect()]
     assert got == [["a", "b", "3"], ["a", "b"], ["a", "b", "c"], ["5"], [], [], ["[broken"], []]
     lists = spark.createDataFrame([('["x", 1]',), ("{}",), ("oops",), (None,)], "t string")
     assert [r[0] for r in lists.select(json_text_list(F.col("t"))).collect()] == [["x", "1"], [], [], []]
