@@ -21,6 +21,16 @@ def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
 
 
+def widen(df: DataFrame, *by: str) -> DataFrame:
+    """At least one partition per core before work that multiplies or rewrites rows.
+
+    A small table often arrives in one or two file splits; it is spread by `by`. Anything that already has a partition
+    per core passes unchanged, so large inputs are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of the rows as held in memory, from one pass over the columns' lengths."""
     widths = []

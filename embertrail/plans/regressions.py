@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from embertrail.functions.scoring import percent_change, regression_confidence, regression_reason
-from embertrail.operators.scale import lookup_join
+from embertrail.operators.scale import lookup_join, widen
 from embertrail.session import durable
 
 # A deploy's whole window spans about this many time buckets.
@@ -27,7 +27,8 @@ def window_counts(deploys: DataFrame, clustered: DataFrame, before_minutes: int,
     width = math.ceil((before_minutes + after_minutes) * 60_000_000 / BUCKETS_PER_WINDOW)
 
     def bucket(ts: Column) -> Column:
-        return F.floor(F.unix_micros(ts) / F.lit(width)).cast("bigint")
+        micros = F.unix_micros(ts)
+        return F.floor((micros - F.pmod(micros, F.lit(width))) / F.lit(width)).cast("bigint")
 
     logs = clustered.filter(F.col("ts").isNotNull() & (F.col("cluster_id") >= 0)).withColumn("bucket", bucket(F.col("ts")))
     tallies = durable(
@@ -52,7 +53,7 @@ def window_counts(deploys: DataFrame, clustered: DataFrame, before_minutes: int,
     inside = F.filter(F.sequence(first, last), lambda b: (b > first) & (b < last) & (b != middle))
     whole = windows.select("deploy_id", "service", middle.alias("middle"), F.explode(inside).alias("bucket"))
     later = F.col("bucket") > F.col("middle")
-    full = lookup_join(tallies, whole, ["service", "bucket"], ["cluster_id"]).select(
+    full = lookup_join(widen(tallies, "service", "cluster_id", "bucket"), whole, ["service", "bucket"], ["cluster_id"]).select(
         "deploy_id", "cluster_id", F.when(later, 0).otherwise(F.col("n")).alias("before"),
         F.when(later, F.col("n")).otherwise(0).alias("after"), F.when(later, F.col("bucket_first")).alias("after_ts"),
     )

@@ -249,13 +249,13 @@ SQL = {
     "anomalies_by_run": with_tables(*ANOMALY_TABLES) + f"SELECT {ANOMALY_COLUMNS} FROM anomalies",
     "anomalies_latest_run": with_tables(*ANOMALY_TABLES) + f"SELECT {ANOMALY_COLUMNS} FROM anomalies WHERE run_id = (SELECT max(run_id) FROM run_list)",
     "label_centroids": """
-        SELECT label, position, round(avg(value), 6) AS value
+        SELECT CAST(label AS BIGINT) AS label, position, round(avg(value), 6) AS value
         FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS position, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings) GROUP BY 1, 2""",
     "best_cluster_matches": """
         WITH parts AS (SELECT label, generate_subscripts(embedding, 1) AS position, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings),
         means AS (SELECT label, position, avg(value) AS value FROM parts GROUP BY 1, 2),
         centroid AS (SELECT label, list(value ORDER BY position) AS vector FROM means GROUP BY 1),
-        scored AS (SELECT centroid.label AS cluster_id, vec_id AS matched_id, vec_id % 7 + 1 AS matched_size,
+        scored AS (SELECT CAST(centroid.label AS BIGINT) AS cluster_id, vec_id AS matched_id, vec_id % 7 + 1 AS matched_size,
                           0.6 * list_cosine_similarity(vector, CAST(embedding AS DOUBLE[])) + CASE WHEN centroid.label % 3 = vec_id % 3 THEN 0.25 ELSE 0 END AS score
                    FROM centroid, embeddings)
         SELECT cluster_id, matched_id, matched_size, round(score, 6) AS score FROM (
@@ -282,7 +282,7 @@ SQL = {
                coalesce(i.severity, b.severity) AS severity, coalesce(i.title, b.title) AS title, {inst('coalesce(b.first_seen, i.first_seen)')} AS first_seen
         FROM before b FULL JOIN incidents i USING (cluster_key)""",
     "incident_explanations": with_tables(*EXPLANATION) + "SELECT incident_id, representative_logs, related_sessions, root_cause_hypothesis FROM explained",
-    "incident_reports": with_tables(*EXPLANATION) + REPORT,
+    "incident_reports": with_tables(*EXPLANATION) + f"SELECT incident_id, CAST(section AS BIGINT) AS section, text FROM ({REPORT})",
     "incident_summaries": with_tables(*EXPLANATION) + """
         , lists AS (SELECT incident_id, string_agg(details, '; ' ORDER BY place) AS deploys FROM evidence WHERE evidence_type = 'deploy_correlation' GROUP BY 1)
         SELECT incident_id, 'Incident ' || incident_id || ' is ' || status || ' with ' || severity || ' severity. ' || summary || coalesce(' Correlated deploys: ' || deploys || '.', '')

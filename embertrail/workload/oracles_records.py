@@ -47,7 +47,7 @@ SQL = {
           SELECT event_id, CASE k % 8 WHEN 0 THEN ts WHEN 1 THEN date_trunc('second', ts) - INTERVAL 330 MINUTE WHEN 2 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP)
                    WHEN 3 THEN date_trunc('second', ts) WHEN 4 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) WHEN 7 THEN date_trunc('millisecond', ts) END AS t FROM ev)""",
     "live_lines": """
-        SELECT sha256(message) AS message_hash, CASE WHEN role = 'user' THEN 'desk' ELSE 'desk' END AS service, '2024-02-01 00:00:00.000000' AS ts, 7 AS session_id
+        SELECT sha256(message) AS message_hash, CASE WHEN role = 'user' THEN 'desk' ELSE 'desk' END AS service, '2024-02-01 00:00:00.000000' AS ts, CAST(7 AS BIGINT) AS session_id
         FROM (SELECT role, CASE WHEN role = 'user' THEN text ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS message FROM conversations) WHERE message <> ''""",
     "text_file_lines": """
         SELECT sha256(line) AS message_hash, count(*) AS n
@@ -68,7 +68,7 @@ SQL = {
                coalesce(p_brand, 'u') AS repo_url, 'github_deployments' AS provider
         FROM orders LEFT JOIN part ON p_partkey = o_custkey * 2""",
     "ci_records": with_tables(EVENTS, CI) + f"""
-        SELECT event_id, {inst('ts')} AS ts, 'ci' AS service, 'ERROR' AS level, message, failure_signature, status, 19 AS id_length FROM ci_signed""",
+        SELECT event_id, {inst('ts')} AS ts, 'ci' AS service, 'ERROR' AS level, message, failure_signature, status, CAST(19 AS BIGINT) AS id_length FROM ci_signed""",
     "ci_patterns": with_tables(EVENTS, CI) + """
         SELECT *, failed_runs > 0 AND failed_runs < total_runs AS flaky,
                'Test ' || coalesce(test_name, 'unknown') || ' failed in ' || failed_runs || '/' || total_runs || ' recent CI runs'

@@ -24,8 +24,8 @@ from embertrail.workload import views as V
 WINDOW = 720
 
 
-def _regressions(spark: SparkSession, folder: str) -> DataFrame:
-    members = durable(V.members(spark, folder))
+def _regressions(spark: SparkSession, folder: str, members: DataFrame | None = None) -> DataFrame:
+    members = V.members(spark, folder) if members is None else members
     return detect_regressions(
         V.deploys(spark, folder), members, members.select("log_id", "cluster_id"), cluster_snapshots(members), WINDOW, WINDOW
     )
@@ -141,14 +141,21 @@ def _empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], INCIDENTS), spark.createDataFrame([], EVIDENCE)
 
 
-def _regression_incidents(spark: SparkSession, folder: str) -> Promotion:
-    return promote_regressions(durable(_regressions(spark, folder)), *_empty(spark), V.members(spark, folder))
+def _regression_incidents(spark: SparkSession, members: DataFrame, regressions: DataFrame) -> Promotion:
+    return promote_regressions(regressions, *_empty(spark), members)
 
 
-def _anomaly_incidents(spark: SparkSession, folder: str) -> Promotion:
-    history = durable(V.daily_history(spark, folder))
-    last = history.agg(F.max("run_id").alias("run_id"))
+def _promoted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Promotion]:
+    """(members, regressions, the incidents they open)."""
     members = V.members(spark, folder)
+    regressions = durable(_regressions(spark, folder, members))
+    return members, regressions, _regression_incidents(spark, members, regressions)
+
+
+def _anomaly_incidents(spark: SparkSession, folder: str, members: DataFrame | None = None) -> Promotion:
+    members = V.members(spark, folder) if members is None else members
+    history = durable(V.daily_history(spark, folder, members))
+    last = history.agg(F.max("run_id").alias("run_id"))
     return promote_anomalies(
         detect_anomalies(history, V.runs(spark, folder)), *_empty(spark), history.join(F.broadcast(last), "run_id", "left_semi"), members,
         V.sessions(spark, folder), V.deploys(spark, folder),
@@ -164,11 +171,11 @@ def _incident_columns(incidents: DataFrame) -> DataFrame:
 
 
 def incidents_from_regressions(spark: SparkSession, folder: str) -> DataFrame:
-    return _incident_columns(_regression_incidents(spark, folder).incidents)
+    return _incident_columns(_promoted(spark, folder)[2].incidents)
 
 
 def evidence_from_regressions(spark: SparkSession, folder: str) -> DataFrame:
-    return _regression_incidents(spark, folder).evidence.select("incident_id", "evidence_type", "details")
+    return _promoted(spark, folder)[2].evidence.select("incident_id", "evidence_type", "details")
 
 
 def incidents_from_anomalies(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,17 +188,18 @@ def evidence_from_anomalies(spark: SparkSession, folder: str) -> DataFrame:
 
 def incidents_reopened(spark: SparkSession, folder: str) -> DataFrame:
     """Incidents of anomalies, half of them resolved by status changes, then met again by the deploy regressions."""
-    first = _anomaly_incidents(spark, folder)
+    members = V.members(spark, folder)
+    first = _anomaly_incidents(spark, folder, members)
     change = F.when(F.col("incident_id") % 2 == 0, F.array(F.lit("acknowledged"), F.lit("resolved"))).otherwise(F.array(F.lit("acknowledged")))
     changes = first.incidents.select("incident_id", F.posexplode(change).alias("at", "status"))
     changed = durable(apply_status_changes(first.incidents, changes))
-    again = promote_regressions(durable(_regressions(spark, folder)), changed, first.evidence, V.members(spark, folder))
+    again = promote_regressions(durable(_regressions(spark, folder, members)), changed, first.evidence, members)
     return again.incidents.select("cluster_key", "status", "severity", "title", V.instant(F.col("first_seen")).alias("first_seen"))
 
 
 def _explained(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    done = _regression_incidents(spark, folder)
-    return durable(explain_incidents(done.incidents, done.evidence, V.members(spark, folder), V.sessions(spark, folder))), done.evidence
+    members, _, done = _promoted(spark, folder)
+    return durable(explain_incidents(done.incidents, done.evidence, members, V.sessions(spark, folder))), done.evidence
 
 
 def incident_explanations(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,10 +219,9 @@ def incident_summaries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, folder: str) -> DataFrame:
-    regressions = durable(_regressions(spark, folder))
+    members, regressions, done = _promoted(spark, folder)
     numbered = merge_regressions(spark.createDataFrame([], REGRESSIONS), regressions)
-    incidents = _regression_incidents(spark, folder).incidents
-    events = cluster_timeline(V.members(spark, folder), numbered, incidents)
+    events = cluster_timeline(members, numbered, done.incidents)
     return events.select("cluster_id", "event_type", V.instant(F.col("ts")).alias("ts"), "title", "details")
 
 
@@ -227,7 +234,7 @@ def stored_regressions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cluster_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    members = durable(V.members(spark, folder))
+    members = V.members(spark, folder)
     rows = summarize_clusters(cluster_snapshots(members), members, V.deploys(spark, folder))
     joined = {c: F.array_join(c, "\n").alias(c) for c in ("affected_services", "timeline", "representative_logs", "deploy_correlation")}
     return rows.select(
@@ -236,12 +243,12 @@ def cluster_summaries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cluster_report_texts(spark: SparkSession, folder: str) -> DataFrame:
-    members = durable(V.members(spark, folder))
+    members = V.members(spark, folder)
     return cluster_reports(summarize_clusters(cluster_snapshots(members), members, V.deploys(spark, folder)))
 
 
 def cluster_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    members = durable(V.members(spark, folder))
+    members = V.members(spark, folder)
     return summary_prompts(cluster_snapshots(members), members)
 
 

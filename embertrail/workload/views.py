@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from embertrail.operators.scale import widen
 from embertrail.plans.clusters import cluster_snapshots, signature_clusters
+from embertrail.session import durable
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return widen(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
 
 
 def instant(ts: Column) -> Column:
@@ -61,7 +63,7 @@ def deploys(spark: SparkSession, folder: str) -> DataFrame:
 def members(spark: SparkSession, folder: str) -> DataFrame:
     """Logs with their signature cluster."""
     rows = logs(spark, folder)
-    return rows.join(signature_clusters(rows), "log_id")
+    return durable(rows.join(signature_clusters(rows), "log_id"))
 
 
 def clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,9 +74,9 @@ def run_of(ts: Column) -> Column:
     return F.dayofmonth(ts).cast("bigint")
 
 
-def daily_history(spark: SparkSession, folder: str) -> DataFrame:
+def daily_history(spark: SparkSession, folder: str, of: DataFrame | None = None) -> DataFrame:
     """One clustering run per day: the day's size and example per signature cluster."""
-    rows = members(spark, folder).withColumn("run_id", run_of(F.col("ts")))
+    rows = (members(spark, folder) if of is None else of).withColumn("run_id", run_of(F.col("ts")))
     place = F.struct("ts", "log_id")
     return rows.groupBy("run_id", "cluster_id", "cluster_key").agg(
         F.count(F.lit(1)).alias("log_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
