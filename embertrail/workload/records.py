@@ -11,7 +11,7 @@ from embertrail.functions.services import service_from_message
 from embertrail.functions.timestamps import parse_timestamp
 from embertrail.functions.vectors import cosine_similarity, jaccard
 from embertrail.operators.density import density_clusters, neighbour_counts
-from embertrail.operators.tables import merge_rows, pending_embeddings
+from embertrail.operators.tables import merge_rows, pending_embeddings, read_table
 from embertrail.plans.ci import ci_patterns
 from embertrail.plans.deploys import enrich_deploys
 from embertrail.plans.embed import embed_logs
@@ -343,17 +343,15 @@ def message_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("log_id", F.size("vector").alias("width"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
 
 
-def live_stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    """All events as rolled log files (one per week), followed by the live stream; returns the incidents it leaves."""
+def live_stream_incidents(spark: SparkSession, folder: str) -> DataFrame:
+    """All events as rolled log files (the month's two halves), followed by the live stream; returns the incidents it leaves."""
     source, root = _scratch(spark, "stream"), _scratch(spark, "store")
-    week = F.floor((F.dayofmonth("ts") - 1) / 8)
-    weeks = durable(V.logs(spark, folder).select(week.alias("week"), F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "service", "level", "message")).alias("value")))
+    half = F.when(F.dayofmonth("ts") <= 15, 0).otherwise(1)
+    halves = durable(V.logs(spark, folder).select(half.alias("half"), F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "service", "level", "message")).alias("value")))
     live = LiveTriage(root=root, eps=0.1, min_samples=2)
-    for number in range(4):
-        weeks.filter(F.col("week") == number).select("value").write.mode("append").text(source)
+    for number in range(2):
+        halves.filter(F.col("half") == number).select("value").write.mode("append").text(source)
         live.start(spark, source, f"{root}/checkpoint", every=None).awaitTermination()
-    from embertrail.operators.tables import read_table
-
     return read_table(spark, root, "incidents").select("cluster_key", "status", "severity", "title", "current_size")
 
 
@@ -382,5 +380,5 @@ QUERIES = {
     "close_neighbour_counts": close_neighbour_counts,
     "density_clusters": density_cluster_rows,
     "message_embeddings": message_embeddings,
-    "live_stream_incidents": live_stream_alerts,
+    "live_stream_incidents": live_stream_incidents,
 }
