@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 
+from itertools import chain
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,7 +25,8 @@ from embertrail.llm.common import by_slices
 
 # Texts that are held as encodings at a time.
 ENCODED_ROWS = 64
-# Fixed: special tokens would come from the text; none are defined.
+# Pieces of text whose ids a worker remembers, and the longest that is remembered.
+PIECES, PIECE_CHARS = 400_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -63,10 +67,15 @@ class Codec:
     _made: dict[str, "Codec"] = {}
 
     def __init__(self, text: str):
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         self.tokenizer = Tokenizer.from_str(text)
+        self.split = regex.compile(json.loads(text)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pieces = Tokenizer.from_str(text)
+        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[str, list[int]] = {}
         back = {c: b for b, c in enumerate(byte_characters())}
         self.bytes = {i: bytes(back[c] for c in token) for token, i in self.tokenizer.get_vocab().items()}
 
@@ -79,7 +88,17 @@ class Codec:
         return cls._made[key]
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of each text; every distinct piece that the pattern makes is encoded once and remembered."""
+        split = [self.split.findall(text) for text in texts]
+        if len(self.known) > PIECES:
+            self.known.clear()
+        new = [x for x in set(chain.from_iterable(split)) if x not in self.known]
+        found = [e.ids for e in self.pieces.encode_batch_fast(new, add_special_tokens=False)]
+        long = {x: ids for x, ids in zip(new, found) if len(x) > PIECE_CHARS}
+        self.known.update((x, ids) for x, ids in zip(new, found) if len(x) <= PIECE_CHARS)
+        if long:
+            return [[*chain.from_iterable(self.known[x] if len(x) <= PIECE_CHARS else long[x] for x in pieces)] for pieces in split]
+        return [[*chain.from_iterable(map(self.known.__getitem__, pieces))] for pieces in split]
 
     def ids_and_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """Ids with the (start, end) code points that each token touches."""

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embertrail.llm import byte_bpe, line_dedup
+from embertrail.llm import byte_bpe, line_dedup, quality_net, toxicity_fm
 from embertrail.llm.common import read
 
 
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_fm.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def bpe_tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
     import public_tokenizers
 
@@ -25,4 +33,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs, index, text=False)
 
 
-QUERIES = {q.__name__: q for q in (op6_byte_bpe, op10_line_dedup)}
+QUERIES = {q.__name__: q for q in (op1_toxicity_fm, op5_quality_net, op6_byte_bpe, op10_line_dedup)}
