@@ -28,7 +28,10 @@ TERMS, FACTORS = 1 << 17, 8
 BEGINNINGS = (4, 5)
 # Labelled rows that the machine is fitted on at most: the smallest hashes of their ids.
 TRAIN_ROWS = 30_000
-EPOCHS, BATCH, RATE, DECAY = 5, 256, 0.1, 2e-5
+# Terms that the machine learns: in at least so many labelled rows, and so strongly tied to the label (chi square). Others
+# would only serve to memorise single documents.
+LEAST_ROWS, ASSOCIATION = 5, 20.0
+EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.1, 2e-4
 WORD = re.compile(r"\w+")
 
 
@@ -68,6 +71,15 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(terms, counts), -30, 30)))
 
 
+def associated(documents: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """For every term, whether its documents carry the label clearly more or less often than all do."""
+    flat = np.concatenate([*documents, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+    rows, marked = np.bincount(flat, minlength=TERMS), np.bincount(flat, weights=y[owner], minlength=TERMS)
+    share = y.mean()
+    return (rows >= LEAST_ROWS) & ((marked - rows * share) ** 2 >= ASSOCIATION * rows * share * (1 - share))
+
+
 def fit(documents: list[np.ndarray], y: np.ndarray) -> Machine:
     """The machine of documents (arrays of distinct terms) with labels 0 or 1, by AdaGrad on the log loss."""
     rng = np.random.default_rng(3)
@@ -78,6 +90,9 @@ def fit(documents: list[np.ndarray], y: np.ndarray) -> Machine:
         return machine
     machine.factors = rng.normal(0, 0.01, (TERMS, FACTORS))
     grown_w, grown_v, grown_b = np.full(TERMS, 1e-2), np.full((TERMS, FACTORS), 1e-1), 1e-2
+    chosen = associated(documents, y)
+    machine.factors[~chosen] = 0
+    documents = [d[chosen[d]] for d in documents]
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
             counts = np.array([len(documents[i]) for i in rows])
@@ -94,7 +109,7 @@ def fit(documents: list[np.ndarray], y: np.ndarray) -> Machine:
             grad_w = np.bincount(place, weights=error[owner], minlength=len(used)) + DECAY * machine.weights[used]
             grad_v = np.zeros((len(used), FACTORS))
             np.add.at(grad_v, place, error[owner, None] * (sums[owner] - held))
-            grad_v += DECAY * 10 * machine.factors[used]
+            grad_v += DECAY * machine.factors[used]
             grown_w[used] += grad_w**2
             grown_v[used] += grad_v**2
             machine.weights[used] -= RATE * grad_w / np.sqrt(grown_w[used])
