@@ -17,4 +17,38 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
-SQL = {"op10_line_dedup": OP10}
+OP2 = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM split),
+windows AS (
+  SELECT doc_id, i, [w, lead(w) OVER o, lead(w, 2) OVER o] AS three, lead(w, 2) OVER o IS NOT NULL AS whole FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM windows WHERE whole QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + step) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS step) GROUP BY doc_id),
+buckets AS (SELECT doc_id, i, CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) AS b FROM word),
+grams AS (
+  SELECT doc_id, b AS gram FROM buckets
+  UNION ALL SELECT doc_id, 65536 + (b * 31 + nxt) % 65536 FROM (SELECT *, lead(b) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM buckets) WHERE nxt IS NOT NULL),
+trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+counts AS (
+  SELECT gram, gram >= 65536 AS kind, count(*) AS corpus, count(trusted.doc_id) AS target
+  FROM grams LEFT JOIN trusted USING (doc_id) GROUP BY gram),
+totals AS (SELECT kind, sum(corpus) AS all_corpus, sum(target) AS all_target FROM counts GROUP BY kind),
+ratios AS (
+  SELECT gram, ln((target + 0.5) / (all_target + 32768)) - ln((corpus + 0.5) / (all_corpus + 32768)) AS ratio FROM counts JOIN totals USING (kind)),
+scores AS (SELECT doc_id, avg(ratio) AS score FROM grams JOIN ratios USING (gram) GROUP BY doc_id),
+joined AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(words, '')), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, score
+  FROM split LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN scores USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM joined)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(score >= -0.25, false) AS kept
+FROM judged
+"""
+
+SQL = {"op2_quality_rules": OP2, "op10_line_dedup": OP10}

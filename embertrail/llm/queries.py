@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embertrail.llm import byte_bpe, line_dedup, quality_net, toxicity_fm
+from embertrail.llm import byte_bpe, line_dedup, quality_net, quality_rules, toxicity_fm
 from embertrail.llm.common import read
 
 
@@ -12,6 +12,12 @@ def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels")
+    trusted = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
+    return quality_rules.judge_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), trusted).drop("score")
+
+
 def op5_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -33,4 +39,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs, index, text=False)
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity_fm, op5_quality_net, op6_byte_bpe, op10_line_dedup)}
+QUERIES = {q.__name__: q for q in (op1_toxicity_fm, op2_quality_rules, op5_quality_net, op6_byte_bpe, op10_line_dedup)}
