@@ -38,7 +38,7 @@ counts AS (
   FROM grams LEFT JOIN trusted USING (doc_id) GROUP BY gram),
 totals AS (SELECT kind, sum(corpus) AS all_corpus, sum(target) AS all_target FROM counts GROUP BY kind),
 ratios AS (
-  SELECT gram, ln((target + 0.5) / (all_target + 32768)) - ln((corpus + 0.5) / (all_corpus + 32768)) AS ratio FROM counts JOIN totals USING (kind)),
+  SELECT gram, ln(target + 5.0) - ln(corpus * (all_target / all_corpus) + 5.0) AS ratio FROM counts JOIN totals USING (kind)),
 scores AS (SELECT doc_id, avg(ratio) AS score FROM grams JOIN ratios USING (gram) GROUP BY doc_id),
 joined AS (
   SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(words, '')), 0) AS BIGINT) AS word_chars,
@@ -47,7 +47,7 @@ joined AS (
   FROM split LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN scores USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM joined)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(score >= -0.25, false) AS kept
+       NOT base_failed AND coalesce(score >= -0.15, false) AS kept
 FROM judged
 """
 

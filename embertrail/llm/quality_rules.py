@@ -7,8 +7,8 @@ threshold. Texts are read once: the bucket numbers are written as a table in the
 read that.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept. Every row is judged by itself, so
-repeated rows get equal results. Rows without an id are judged and are never trusted. Without trusted documents both
-multinomials are flat in their ratio only by smoothing, and the threshold still applies. 3-word windows are told apart by a
+repeated rows get equal results. Rows without an id are judged and are never trusted. Without trusted documents
+every ratio is zero and the base rules alone decide. 3-word windows are told apart by a
 64-bit hash. Other columns of `docs` are not read.
 """
 
@@ -21,9 +21,11 @@ from embertrail.session import durable
 
 # Buckets of each n-gram length: the first four hexadecimal digits of a word's MD5, and a mix of two words' buckets.
 BUCKETS = 1 << 16
-SMOOTHING = 0.5
+# Occurrences added to each bucket of both multinomials, once the corpus is scaled to the target's size. What is seen once
+# or twice then says little, so that documents outside the target do not lose by their rare words.
+SMOOTHING = 5.0
 # Mean log ratio (nats per n-gram) from which a document is kept.
-THRESHOLD = -0.25
+THRESHOLD = -0.15
 # Fixed: the white space and symbols that the base rules name.
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
@@ -95,9 +97,9 @@ def log_ratios(rows: DataFrame) -> DataFrame:
     counts = durable(counts)
     kind = F.col("gram") >= BUCKETS
     totals = counts.groupBy(kind.alias("kind")).agg(F.sum("corpus").alias("all_corpus"), F.sum("target").alias("all_target"))
-    share = lambda part, whole: (F.col(part) + SMOOTHING) / (F.col(whole) + SMOOTHING * BUCKETS)
+    scaled = F.col("corpus") * (F.col("all_target") / F.col("all_corpus"))
     return counts.join(F.broadcast(totals), kind == F.col("kind")).select(
-        "gram", (F.log(share("target", "all_target")) - F.log(share("corpus", "all_corpus"))).alias("ratio")
+        "gram", (F.log(F.col("target") + SMOOTHING) - F.log(scaled + SMOOTHING)).alias("ratio")
     )
 
 
