@@ -51,4 +51,77 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-SQL = {"op2_quality_rules": OP2, "op10_line_dedup": OP10}
+OP4 = r"""
+WITH found AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS place FROM pages),
+rest AS (SELECT page_id, url, CASE WHEN place > 0 THEN substr(url, place + 3) ELSE '' END AS rest FROM found),
+parted AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM rest),
+named AS (
+  SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parted),
+ruled AS (
+  SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said,
+         row_number() OVER () AS row_no FROM named),
+chars AS (SELECT row_no, said, unnest(string_split(lower(url), '')) AS ch, unnest(range(length(url))) AS i FROM ruled WHERE url <> ''),
+coded AS (SELECT row_no, said, i, strpos('abcdefghijklmnopqrstuvwxyz0123456789./:-_?=&', ch) AS c FROM chars),
+cells AS (
+  SELECT row_no, said, c, coalesce(lag(c) OVER w, 45) AS c1, coalesce(lag(c, 2) OVER w, 45) AS c2
+  FROM coded WINDOW w AS (PARTITION BY row_no ORDER BY i)),
+classes AS (SELECT unnest(['allow', 'block']) AS said),
+t3 AS (SELECT said, c2, c1, c, count(*) AS n FROM cells WHERE said IS NOT NULL GROUP BY ALL),
+t2 AS (SELECT said, c1, c, sum(n) AS n FROM t3 GROUP BY ALL),
+t1 AS (SELECT said, c, sum(n) AS n FROM t3 GROUP BY ALL),
+s3 AS (SELECT said, c2, c1, sum(n) AS total, count(*) AS kinds FROM t3 GROUP BY ALL),
+s2 AS (SELECT said, c1, sum(n) AS total, count(*) AS kinds FROM t2 GROUP BY ALL),
+s1 AS (SELECT said, sum(n) AS total, count(*) AS kinds FROM t1 GROUP BY ALL),
+used AS (SELECT DISTINCT c2, c1, c FROM cells),
+p1 AS (
+  SELECT u.*, classes.said, CASE WHEN s1.total > 0 THEN (coalesce(t1.n, 0) + s1.kinds * (1.0::DOUBLE / 46)) / (s1.total + s1.kinds) ELSE 1.0::DOUBLE / 46 END AS p
+  FROM used u, classes LEFT JOIN s1 ON s1.said = classes.said LEFT JOIN t1 ON t1.said = classes.said AND t1.c = u.c),
+p2 AS (
+  SELECT p1.* REPLACE (CASE WHEN s2.total > 0 THEN (coalesce(t2.n, 0) + s2.kinds * p) / (s2.total + s2.kinds) ELSE p END AS p)
+  FROM p1 LEFT JOIN s2 ON s2.said = p1.said AND s2.c1 = p1.c1 LEFT JOIN t2 ON t2.said = p1.said AND t2.c1 = p1.c1 AND t2.c = p1.c),
+p3 AS (
+  SELECT p2.* REPLACE (CASE WHEN s3.total > 0 THEN (coalesce(t3.n, 0) + s3.kinds * p) / (s3.total + s3.kinds) ELSE p END AS p)
+  FROM p2 LEFT JOIN s3 ON s3.said = p2.said AND s3.c1 = p2.c1 AND s3.c2 = p2.c2
+  LEFT JOIN t3 ON t3.said = p2.said AND t3.c1 = p2.c1 AND t3.c2 = p2.c2 AND t3.c = p2.c),
+ratios AS (SELECT c2, c1, c, sum(CASE said WHEN 'allow' THEN ln(p) ELSE -ln(p) END) AS ratio FROM p3 GROUP BY ALL),
+scores AS (SELECT row_no, avg(ratio) AS score FROM cells JOIN ratios USING (c2, c1, c) GROUP BY row_no),
+scored AS (SELECT ruled.*, coalesce(score, 0) AS score FROM ruled LEFT JOIN scores USING (row_no)),
+means AS (SELECT said, avg(score) AS mean FROM scored WHERE said IS NOT NULL GROUP BY said),
+middle AS (SELECT CASE WHEN count(*) = 2 THEN avg(mean) ELSE 0 END AS threshold FROM means)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict FROM scored, middle
+"""
+
+OP7 = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS hash
+  FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+weighed AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM sources),
+ranked AS (
+  SELECT *, 3 * source_size / weight AS ratio, row_number() OVER (ORDER BY 3 * source_size / weight, source) AS k FROM weighed),
+levels AS (
+  SELECT k, ratio, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE / sum(weight) OVER rest AS level
+  FROM ranked WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rest AS (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+water AS (SELECT level FROM levels WHERE ratio >= level ORDER BY k LIMIT 1),
+targets AS (SELECT source, source_size, least(weight * level, 3.0::DOUBLE * source_size) AS target FROM weighed, water),
+plan AS (
+  SELECT *, target - whole * source_size AS extra
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets)),
+alike AS (SELECT source, hash, sum(size) AS alike, sum(sum(size)) OVER (PARTITION BY source ORDER BY hash) AS upto FROM docs GROUP BY source, hash),
+taken AS (
+  SELECT plan.*, hash, whole + CASE WHEN 2 * upto - alike <= 2 * extra AND extra > 0 THEN 1 ELSE 0 END AS times
+  FROM alike JOIN plan ON alike.source IS NOT DISTINCT FROM plan.source)
+SELECT doc_id, size, source_size, target, CAST(size * times AS BIGINT) AS taken
+FROM docs JOIN taken ON docs.source IS NOT DISTINCT FROM taken.source AND docs.hash = taken.hash
+"""
+
+SQL = {"op4_url_markov": OP4, "op7_source_mix": OP7, "op2_quality_rules": OP2, "op10_line_dedup": OP10}

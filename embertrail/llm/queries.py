@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embertrail.llm import byte_bpe, line_dedup, quality_net, quality_rules, toxicity_fm
+from embertrail.llm import byte_bpe, line_dedup, quality_net, quality_rules, source_mix, toxicity_fm, url_markov
 from embertrail.llm.common import read
 
 
@@ -18,6 +18,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), trusted).drop("score")
 
 
+# Fixed: the rules that the query judges by.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op4_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_markov.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("score")
+
+
 def op5_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -33,10 +41,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(docs, bpe_tokenizer()).drop("text")
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     index = line_dedup.add_documents(line_dedup.empty_index(spark), docs)
     return line_dedup.drop_repeated_lines(docs, index, text=False)
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity_fm, op2_quality_rules, op5_quality_net, op6_byte_bpe, op10_line_dedup)}
+QUERIES = {q.__name__: q for q in (op1_toxicity_fm, op2_quality_rules, op4_url_markov, op5_quality_net, op6_byte_bpe, op7_source_mix, op10_line_dedup)}
