@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embertrail.llm import byte_bpe, line_dedup, quality_net, quality_rules, source_mix, toxicity_fm, url_markov
+from embertrail.llm import byte_bpe, line_dedup, ngram_join, quality_net, quality_rules, source_mix, toxicity_fm, url_markov
 from embertrail.llm.common import read
 
 
@@ -45,10 +45,14 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     index = line_dedup.add_documents(line_dedup.empty_index(spark), docs)
     return line_dedup.drop_repeated_lines(docs, index, text=False)
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity_fm, op2_quality_rules, op4_url_markov, op5_quality_net, op6_byte_bpe, op7_source_mix, op10_line_dedup)}
+QUERIES = {q.__name__: q for q in (op1_toxicity_fm, op2_quality_rules, op4_url_markov, op5_quality_net, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op10_line_dedup)}
