@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embertrail.llm import byte_bpe, line_dedup, ngram_join, quality_net, quality_rules, source_mix, toxicity_fm, url_markov
+from embertrail.llm import byte_bpe, hnsw_dedup, line_dedup, ngram_join, quality_net, quality_rules, source_mix, token_counts, toxicity_fm, url_markov
 from embertrail.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), trusted).drop("score")
 
 
+def op3_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 # Fixed: the rules that the query judges by.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -49,10 +53,23 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = token_counts.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), pieces).drop("text")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     index = line_dedup.add_documents(line_dedup.empty_index(spark), docs)
     return line_dedup.drop_repeated_lines(docs, index, text=False)
 
 
-QUERIES = {q.__name__: q for q in (op1_toxicity_fm, op2_quality_rules, op4_url_markov, op5_quality_net, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op10_line_dedup)}
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_toxicity_fm, op2_quality_rules, op3_hnsw_dedup, op4_url_markov, op5_quality_net, op6_byte_bpe, op7_source_mix,
+        op8_ngram_jaccard, op9_token_counts, op10_line_dedup,
+    )
+}
