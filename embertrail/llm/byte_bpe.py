@@ -164,3 +164,16 @@ def round_trip_digests(df: DataFrame, tokenizer: str, column: str = "text") -> D
         )
 
     return _added(df, column, work, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", names)
+
+
+def tokenized(df: DataFrame, tokenizer: str, column: str = "text") -> DataFrame:
+    """Adds n_tokens, ids and exact (whether the ids decode to the very bytes of the text)."""
+    shared = df.sparkSession.sparkContext.broadcast(tokenizer)
+
+    def work(texts: pa.Array) -> tuple[pa.Array, ...]:
+        codec, own = Codec.get(shared), _texts(texts)
+        found = codec.ids(own)
+        exact = [codec.decode(ids) == text.encode() for ids, text in zip(found, own)]
+        return pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(exact)
+
+    return _added(df, column, work, "n_tokens bigint, ids array<int>, exact boolean", ["n_tokens", "ids", "exact"])

@@ -175,7 +175,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
     return net
 
 
-def _pooled(docs: DataFrame, vectors, columns: list[str], kinds: str, finish) -> DataFrame:
+def _pooled(docs: DataFrame, vectors, columns: list[str], kinds, finish) -> DataFrame:
     """Maps (columns..., text) to the columns and what `finish` makes of the pooled rows."""
 
     def work_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +207,27 @@ def train(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality") -
     return fit(x, rows["y"].to_numpy())
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, label: str = "quality") -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of `docs`."""
+def _prepared(docs: DataFrame, labels: DataFrame, label: str):
+    """Broadcast word vectors of the corpus and the network fitted on them."""
     context = docs.sparkSession.sparkContext
     vectors = context.broadcast(word_vectors(word_sums(docs)))
-    net = context.broadcast(train(docs, labels, vectors, label))
+    return vectors, context.broadcast(train(docs, labels, vectors, label))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, label: str = "quality") -> DataFrame:
+    """The rows of `docs` that score at least `cut`, all columns kept and no row shuffled."""
+    vectors, net = _prepared(docs, labels, label)
+
+    def finish(batch: pa.RecordBatch, pooled: np.ndarray) -> pa.RecordBatch:
+        good = pa.array(net.value.scores(pooled.astype(float)) >= cut)
+        return pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:-1]], docs.columns)
+
+    return _pooled(docs, vectors, [f"`{c}`" for c in docs.columns], docs.schema, finish)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, label: str = "quality") -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of `docs`."""
+    vectors, net = _prepared(docs, labels, label)
 
     def finish(batch: pa.RecordBatch, pooled: np.ndarray) -> pa.RecordBatch:
         score = net.value.scores(pooled.astype(float))
