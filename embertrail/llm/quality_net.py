@@ -192,7 +192,7 @@ def _pooled(docs: DataFrame, vectors, columns: list[str], kinds, finish) -> Data
 
 def train(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality") -> Network:
     """The network fitted on at most TRAIN_ROWS labelled rows outside the held-out fold."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     chosen = known.orderBy(order, "doc_id", "y").limit(TRAIN_ROWS)  # a bounded table, hence broadcast below
 
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality") -
         rows = pa.FixedSizeListArray.from_arrays(pa.array(pooled.ravel(), pa.float32()), FEATURES).cast(pa.list_(pa.float32()))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], ["doc_id", "y", "x"])
 
-    rows = _pooled(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), vectors, ["doc_id", "y"], "doc_id bigint, y int, x array<float>", finish).toPandas()
+    rows = _pooled(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), vectors, ["doc_id", "y"], "doc_id bigint, y int, x array<float>", finish).toPandas()
     mixed = np.array([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], dtype=np.int64) * 2654435761 % 2**32
     rows = rows.assign(mixed=mixed).sort_values(["mixed", "doc_id"], kind="stable")
     x = np.stack(rows["x"].to_numpy()).astype(float) if len(rows) else np.zeros((0, FEATURES))
@@ -217,12 +217,13 @@ def _prepared(docs: DataFrame, labels: DataFrame, label: str):
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, label: str = "quality") -> DataFrame:
     """The rows of `docs` that score at least `cut`, all columns kept and no row shuffled."""
     vectors, net = _prepared(docs, labels, label)
+    names = docs.columns
 
     def finish(batch: pa.RecordBatch, pooled: np.ndarray) -> pa.RecordBatch:
         good = pa.array(net.value.scores(pooled.astype(float)) >= cut)
-        return pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:-1]], docs.columns)
+        return pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:-1]], names)
 
-    return _pooled(docs, vectors, [f"`{c}`" for c in docs.columns], docs.schema, finish)
+    return _pooled(docs, vectors, [f"`{c}`" for c in names], docs.schema, finish)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, label: str = "quality") -> DataFrame:

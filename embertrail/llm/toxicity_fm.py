@@ -134,7 +134,7 @@ def _with_terms(docs: DataFrame, columns: list[str], schema: str, finish) -> Dat
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
     """The machine fitted on at most TRAIN_ROWS labelled rows outside the held-out fold."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(TRAIN_ROWS)  # a bounded table, hence broadcast below
 
     def finish(batch: pa.RecordBatch, terms: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(terms.astype(np.int32)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "y", "terms"])
 
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = _with_terms(labelled, ["doc_id", "y"], "doc_id bigint, y int, terms array<int>", finish).toPandas().sort_values(["doc_id", "y"], kind="stable")
     return fit([np.asarray(x, dtype=np.int64) for x in rows["terms"]], rows["y"].to_numpy())
 
