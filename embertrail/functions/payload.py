@@ -74,16 +74,21 @@ def log_id(payload_json: Column, message: Column) -> Column:
     return F.concat(content_hash(payload_json, 12), F.lit("-"), content_hash(message, 4))
 
 
+def strip_space(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def string_list(value: Column) -> Column:
     """Array of texts from a VARIANT holding a list, a text with a JSON list, a comma-separated text, or a scalar."""
-    text = F.btrim(F.try_variant_get(value, "$", "string"))
+    text = strip_space(F.try_variant_get(value, "$", "string"))
     kind = F.schema_of_variant(value)
     listed = F.when(kind.startswith("ARRAY"), value).when((kind == "STRING") & text.startswith("["), F.try_parse_json(text))
     items = F.transform(F.try_variant_get(listed, "$", "array<string>"), lambda item: F.coalesce(item, F.lit("None")))
-    by_comma = F.transform(F.split(text, ","), lambda item: F.btrim(item))
+    by_comma = F.transform(F.split(text, ","), lambda item: strip_space(item))
     scalar = F.when(kind != "STRING", F.array(F.coalesce(_named_boolean(value), text)))
     every = F.coalesce(items, scalar, by_comma, F.array().cast("array<string>"))
-    return F.filter(every, lambda item: F.btrim(item) != "")
+    return F.filter(every, lambda item: strip_space(item) != "")
 
 
 def json_text_list(text: Column) -> Column:

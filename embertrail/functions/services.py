@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from embertrail.functions.payload import first_truthy
+from embertrail.functions.payload import first_truthy, strip_space
 
 # Where a service name may stand in a message (tried in this order), and words that are never one.
 SERVICE_PATTERNS = (
@@ -17,10 +17,6 @@ NOT_SERVICES = ("info", "warn", "warning", "error", "debug", "trace", "stdout",
 _NAME = rf"^(?!(?:{'|'.join(NOT_SERVICES)})\z)[a-z0-9._-]{{1,64}}\z"
 
 
-def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def clean_service(text: Column) -> Column:
     """Lower-cased name without brackets, or NULL when it cannot be a service name."""
     name = F.lower(F.btrim(strip_space(text), F.lit("[](){}")))

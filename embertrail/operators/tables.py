@@ -16,13 +16,12 @@ def _path(root: str, table: str) -> str:
 def _stored(spark: SparkSession, root: str, table: str, partition: str) -> DataFrame | None:
     layout, _ = TABLES[table]
     fields = layout if partition in layout.names else T.StructType([*layout.fields, T.StructField(partition, T.IntegerType())])
-    path = spark._jvm.org.apache.hadoop.fs.Path(_path(root, table))
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
     try:
         return spark.read.schema(fields).parquet(_path(root, table))
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":  # nothing was written yet; any other failure is one
+            return None
+        raise
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:

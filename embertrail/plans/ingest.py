@@ -16,8 +16,8 @@ from embertrail.sources.logs import read_logs
 
 
 def _stored_in_order(spark: SparkSession, root: str, table: str, rows: DataFrame) -> DataFrame:
-    """Merge rows into a table, the later of two equal keys winning; returns the rows."""
-    arrived = durable(rows.withColumn("arrival", F.monotonically_increasing_id()))
+    """Merge rows, numbered by their reader, into a table; of two equal keys the later in the input wins. Returns the rows."""
+    arrived = durable(rows)
     merge_table(spark, root, table, arrived, [F.col("arrival")])
     return arrived.drop("arrival")
 
@@ -28,12 +28,12 @@ class Ingested(NamedTuple):
 
 
 def ingest_logs(spark: SparkSession, root: str, path: str, fmt: str | None = None) -> Ingested:
-    logs, rejected = read_logs(spark, path, fmt)
+    logs, rejected = read_logs(spark, path, fmt, ordered=True)
     return Ingested(_stored_in_order(spark, root, "logs", logs), rejected)
 
 
 def ingest_deploys(spark: SparkSession, root: str, path: str, fmt: str | None = None, commits: DataFrame | None = None) -> Ingested:
-    deploys, rejected = read_deploys(spark, path, fmt)
+    deploys, rejected = read_deploys(spark, path, fmt, ordered=True)
     if commits is not None:
         deploys = enrich_deploys(deploys, commits)
     return Ingested(_stored_in_order(spark, root, "deploys", deploys), rejected)
@@ -41,6 +41,6 @@ def ingest_deploys(spark: SparkSession, root: str, path: str, fmt: str | None =
 
 def ingest_ci(spark: SparkSession, root: str, path: str, job_time, fmt: str | None = None) -> tuple[Ingested, DataFrame]:
     """CI failures stored as logs, and the failure patterns of this batch."""
-    records, rejected = read_ci(spark, path, job_time, fmt)
+    records, rejected = read_ci(spark, path, job_time, fmt, ordered=True)
     records = _stored_in_order(spark, root, "logs", records)
     return Ingested(records, rejected), ci_patterns(records)

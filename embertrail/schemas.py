@@ -55,6 +55,8 @@ REGRESSIONS = _layout(
     "severity string, confidence double, reason string, example_message string"
 )
 
+LIVE_BATCHES = _layout("stream string, batch_id bigint, run_id bigint")
+
 # Table name -> (layout, key columns). Run tables are keyed by run_id and written one partition per run.
 TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "logs": (LOGS, ["log_id"]),
@@ -67,5 +69,6 @@ TABLES: dict[str, tuple[T.StructType, list[str]]] = {
     "run_sessions": (RUN_SESSIONS, ["session_id"]),
     "incidents": (INCIDENTS, ["incident_id"]),
     "evidence": (EVIDENCE, ["evidence_id"]),
+    "live_batches": (LIVE_BATCHES, ["stream", "batch_id"]),
     "regressions": (REGRESSIONS, ["regression_type", "cluster_key", "deploy_id"]),
 }

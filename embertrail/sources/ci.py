@@ -8,7 +8,7 @@ from embertrail.functions import payload as P
 from embertrail.functions.signatures import ci_signature
 from embertrail.functions.timestamps import parse_timestamp
 from embertrail.operators.scale import evaluate_once
-from embertrail.sources.logs import _linked_columns, split_valid
+from embertrail.sources.logs import arrival_columns, _linked_columns, split_valid
 from embertrail.sources.payloads import read_payloads
 
 FAILED_CONCLUSIONS = ("failure", "timed_out", "cancelled", "action_required")
@@ -23,7 +23,7 @@ def _with_defaults(payload: Column, forced: dict[str, Column], defaults: dict[st
     return F.to_json(F.try_parse_json(F.to_json(F.map_concat(own, extra))))
 
 
-def normalize_ci(records: DataFrame, job_time: Column) -> tuple[DataFrame, DataFrame]:
+def normalize_ci(records: DataFrame, job_time: Column, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ci logs, rejected). A missing or unreadable time becomes the job's start, so reruns agree.
 
     Next to the log columns the result keeps what the failure patterns need: signature, test, workflow, status.
@@ -64,12 +64,13 @@ def normalize_ci(records: DataFrame, job_time: Column) -> tuple[DataFrame, DataF
         "workflow",
         F.lower(F.coalesce(P.truthy_field(payload, "status"), F.lit("failed"))).alias("status"),
         P.first_truthy(payload, "commit_sha", "sha").alias("failing_commit"),
+        *(arrival_columns(records) if ordered else []),
     )
     return logs, rejected.select("source", "record_text", "problem")
 
 
-def read_ci(spark: SparkSession, path: str, job_time: Column, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
-    return normalize_ci(read_payloads(spark, path, fmt, list_keys=("runs", "failures")), job_time)
+def read_ci(spark: SparkSession, path: str, job_time: Column, fmt: str | None = None, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+    return normalize_ci(read_payloads(spark, path, fmt, list_keys=("runs", "failures")), job_time, ordered)
 
 
 def _failed(conclusion: Column) -> Column:

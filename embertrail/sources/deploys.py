@@ -7,12 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from embertrail.functions import payload as P
 from embertrail.functions.timestamps import parse_timestamp
 from embertrail.operators.scale import evaluate_once
-from embertrail.sources.logs import SERVICE_KEYS, split_valid
+from embertrail.sources.logs import SERVICE_KEYS, arrival_columns, split_valid
 from embertrail.sources.payloads import read_payloads
 
 
-def normalize_deploys(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(deploys, rejected): a usable time and a service are required."""
+def normalize_deploys(records: DataFrame, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(deploys, rejected): a usable time and a service are required. With `ordered` deploys also carry `arrival`."""
     payload = F.col("payload")
     files = F.coalesce(*[P.truthy_value(payload, key) for key in ("changed_files", "files", "modified_files")])
     named = evaluate_once(
@@ -42,12 +42,13 @@ def normalize_deploys(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         P.first_truthy_or_last(payload, "repo_url", "repository", "html_url").alias("repo_url"),
         P.first_truthy_or_last(payload, "provider", "source").alias("provider"),
         "raw",
+        *(arrival_columns(records) if ordered else []),
     )
     return deploys, rejected.select("source", "record_text", "problem")
 
 
-def read_deploys(spark: SparkSession, path: str, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
-    return normalize_deploys(read_payloads(spark, path, fmt))
+def read_deploys(spark: SparkSession, path: str, fmt: str | None = None, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+    return normalize_deploys(read_payloads(spark, path, fmt), ordered)
 
 
 def deploys_from_api(items: DataFrame, service: str, job_time: Column, environment: str | None = None, limit: int | None = None) -> DataFrame:

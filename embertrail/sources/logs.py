@@ -32,8 +32,13 @@ def split_valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records.filter(F.col("problem").isNull()).drop("problem"), records.filter(F.col("problem").isNotNull())
 
 
-def normalize_logs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(logs, rejected) from payload rows."""
+def arrival_columns(records: DataFrame) -> list[Column]:
+    """What tells the order in which records arrived, as far as the reader knows it."""
+    return [F.struct(*[F.col(c) for c in ("arrival", "position") if c in records.columns]).alias("arrival")] if "arrival" in records.columns else []
+
+
+def normalize_logs(records: DataFrame, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(logs, rejected) from payload rows; with `ordered` the logs also carry `arrival`, their place in the input."""
     payload = F.col("payload")
     named = evaluate_once(records, message=P.first_truthy(payload, *MESSAGE_KEYS)).withColumn(
         "problem", F.coalesce("problem", F.when(F.col("message").isNull(), F.lit("no message field")))
@@ -48,11 +53,12 @@ def normalize_logs(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         "message",
         "raw",
         *_linked_columns(payload),
+        *(arrival_columns(records) if ordered else []),
     )
     return logs, rejected.select("source", "record_text", "problem")
 
 
-def logs_from_lines(lines: DataFrame) -> DataFrame:
+def logs_from_lines(lines: DataFrame, ordered: bool = False) -> DataFrame:
     """Logs from numbered plain-text lines; the line number is part of a line's identity."""
     raw = F.to_json(F.struct(F.col("line_no").alias("line_number"), F.col("line").alias("message")))
     return lines.select(
@@ -64,17 +70,19 @@ def logs_from_lines(lines: DataFrame) -> DataFrame:
         raw.alias("raw"),
         *[F.lit(None).cast(LOGS[name].dataType).alias(name) for name in ("session_id", "deploy_id", "commit_sha", "branch")],
         F.array().cast("array<string>").alias("changed_files"),
+        *([F.struct("source", "line_no").alias("arrival")] if ordered else []),
     )
 
 
-def read_logs(spark: SparkSession, path: str, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_logs(spark: SparkSession, path: str, fmt: str | None = None, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """(logs, rejected); the format follows the suffix, anything unknown is plain text."""
     fmt = fmt or format_of(path)
     if fmt == "text":
-        logs = logs_from_lines(number_lines(text_lines(spark, path)))
+        lines = number_lines(text_lines(spark, path))
+        logs = logs_from_lines(lines, ordered)
         none = spark.createDataFrame([], "source string, record_text string, problem string")
         return logs, none
-    return normalize_logs(read_payloads(spark, path, fmt))
+    return normalize_logs(read_payloads(spark, path, fmt), ordered)
 
 
 def normalize_live_lines(lines: DataFrame, arrived_at: Column, service: str | None = None, session_id: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from embertrail.plans.anomalies import detect_anomalies
 from embertrail.plans.clusters import cluster_logs
 from embertrail.plans.embed import Provider, embed_logs
 from embertrail.plans.incidents import promote_anomalies
+from embertrail.schemas import LIVE_BATCHES
 from embertrail.session import durable
 from embertrail.sources.lines import number_lines, stream_lines
 from embertrail.sources.logs import normalize_live_lines
@@ -42,6 +43,7 @@ class LiveTriage:
     session_id: int | None = None
     provider: Provider | None = None
     alert_path: str | None = None
+    stream: str = "live"
     on_batch: Callable[[BatchResult], None] | None = None
     on_anomalies: Callable[[DataFrame], None] | None = None
 
@@ -88,10 +90,22 @@ class LiveTriage:
         self._alerts = anomalies
         return count
 
+    def run_of_batch(self, spark: SparkSession, batch_id: int) -> int:
+        """The run id given to a batch of this stream before, else the next one after all stored runs and batches."""
+        batches = read_table(spark, self.root, "live_batches")
+        known = batches.filter((F.col("stream") == self.stream) & (F.col("batch_id") == batch_id)).first()
+        if known:
+            return known["run_id"]
+        taken = batches.select("run_id").unionByName(read_table(spark, self.root, "cluster_runs").select(F.col("run_id").cast("bigint")))
+        run_id = (taken.agg(F.max("run_id")).first()[0] or 0) + 1
+        given = spark.createDataFrame([(self.stream, batch_id, run_id)], LIVE_BATCHES)
+        merge_table(spark, self.root, "live_batches", given, [F.col("run_id")])
+        return run_id
+
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """For `foreachBatch`, over rows of `stream_lines`. The run id follows the batch id, so a retry overwrites."""
+        """For `foreachBatch`, over rows of `stream_lines`. A batch keeps its run id, so a retry overwrites."""
         self._alerts = None
-        result = self.process_lines(number_lines(batch), batch_id + 1)
+        result = self.process_lines(number_lines(batch), self.run_of_batch(batch.sparkSession, batch_id))
         if self.alert_path and self._alerts is not None:
             append_alerts(self._alerts, self.alert_path, batch_id)
         if self.on_batch:
@@ -101,6 +115,7 @@ class LiveTriage:
         self, spark: SparkSession, folder: str, checkpoint: str, every: str | None = "2 seconds", max_files: int | None = None
     ) -> StreamingQuery:
         """Follow a folder of rolled log files; `every=None` processes what is there and stops."""
+        self.stream = checkpoint
         trigger = {"processingTime": every} if every else {"availableNow": True}
         return (
             stream_lines(spark, folder, max_files).writeStream.foreachBatch(self.process_batch)

@@ -86,7 +86,7 @@ REGRESSION_EVIDENCE = f"""evidence AS (
   ) JOIN (SELECT incident_id, cluster_key FROM incidents) USING (cluster_key) GROUP BY 1, 2, 3)"""
 REGRESSION_PROMOTION = (*REGRESSION_TABLES, REGRESSION_INCIDENTS, messages("oldest", 3, "oldest"), REGRESSION_EVIDENCE)
 
-STEPS = """run_list AS (SELECT DISTINCT day(ts) AS run_id FROM logs),
+STEPS = """run_list AS (SELECT DISTINCT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS run_id FROM logs),
 steps AS (SELECT run_id, lag(run_id) OVER (ORDER BY run_id) AS previous_run_id FROM run_list),
 baselines AS (
   SELECT cluster_key, run_id, count(*) OVER upto AS history_points, avg(log_count) OVER before AS baseline_mean,
@@ -260,7 +260,7 @@ SQL = {
                    FROM centroid, embeddings)
         SELECT cluster_id, matched_id, matched_size, round(score, 6) AS score FROM (
           SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, matched_size DESC, matched_id) AS r FROM scored) WHERE r = 1 AND score >= 0.5""",
-    "deploy_correlation": with_tables(CLUSTERED, DEPLOYS, HISTORY, "episodes AS (SELECT * REPLACE (cluster_id * 100 + run_id AS cluster_id) FROM history)",
+    "deploy_correlation": with_tables(CLUSTERED, DEPLOYS, HISTORY, "episodes AS (SELECT * REPLACE (cluster_id * 100000 + run_id AS cluster_id) FROM history)",
                                       near("episodes", "near")) + "SELECT cluster_id, rank, deploy_id, details FROM near",
     "representative_logs": with_tables(CLUSTERED, messages("oldest", 5, "oldest")) + f"SELECT cluster_id, rank, message, {inst('end_ts')} AS first_ts FROM oldest",
     "recent_unique_logs": with_tables(CLUSTERED, messages("newest", 5, "newest")) + f"SELECT cluster_id, rank, message, {inst('end_ts')} AS last_ts FROM newest",

@@ -17,11 +17,11 @@ ci_signed AS (
                  ELSE 'assertion failed in step ' || (k % 5) || ' of the long' END AS failure_signature FROM ci)"""
 
 CASES = """cases AS (
-  SELECT d.*, string_split(b.text, ' ') AS words, lower(d.text) AS report FROM documents d, (SELECT count(*) AS total FROM benchmark) t
+  SELECT d.*, b.text AS passage, string_split(b.text, ' ') AS words, lower(d.text) AS report FROM documents d, (SELECT count(*) AS total FROM benchmark) t
   JOIN benchmark b ON b.item_id = d.doc_id % t.total),
 scored AS (
-  SELECT *, lower(words[1]) AS root, lower(source) AS trigger_text, CASE WHEN doc_id % 3 = 0 THEN 'after ' || lower(source) ELSE report END AS predicted,
-         CASE WHEN doc_id % 4 = 0 THEN 9 ELSE least(len(words), 5) END AS baseline_steps, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 1 END AS assisted_steps
+  SELECT *, lower(passage) AS root, lower(source) AS trigger_text, CASE WHEN doc_id % 3 = 0 THEN 'after ' || lower(source) ELSE report END AS predicted,
+         CASE WHEN doc_id % 4 = 0 THEN 9 ELSE len(words) END AS baseline_steps, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 1 END AS assisted_steps
   FROM cases)"""
 
 VECTORS = "vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -102,7 +102,7 @@ SQL = {
     "pending_embeddings": "SELECT doc_id AS log_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "upsert_latest_wins": """
         WITH newest AS (SELECT l_orderkey AS id, l_linestatus || '-' || l_partkey AS value, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) AS r
-                        FROM lineitem WHERE l_returnflag = 'R')
+                        FROM lineitem)
         SELECT id, value FROM newest WHERE r = 1 UNION ALL SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT id FROM newest)""",
     "vector_similarity": """
         WITH sets AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_distinct([label, label % 3, 1]) AS s FROM embeddings)

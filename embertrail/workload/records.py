@@ -92,9 +92,9 @@ def duplicate_records(spark: SparkSession, folder: str) -> DataFrame:
 def changed_file_forms(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("k").cast("string")
     text = F.concat(F.lit('{"changed_files":'), (
-        F.when(F.col("event_type") == "error", F.concat(F.lit('["a'), k, F.lit('.py"," ","b.py",'), k, F.lit("]")))
+        F.when(F.col("event_type") == "error", F.concat(F.lit('["a'), k, F.lit('.py"," ","\\t","b.py",'), k, F.lit("]")))
         .when(F.col("event_type") == "click", F.concat(F.lit('"[\\"x.py\\", \\"y'), k, F.lit('.py\\"]"')))
-        .when(F.col("event_type") == "view", F.concat(F.lit('"m'), k, F.lit('.py , ,n.py"'))).when(F.col("event_type") == "purchase", k).otherwise(F.lit("null"))
+        .when(F.col("event_type") == "view", F.concat(F.lit('"m'), k, F.lit('.py ,\\t,\\n n.py\\t"'))).when(F.col("event_type") == "purchase", k).otherwise(F.lit("null"))
     ), F.lit("}"))
     rows = V.events(spark, folder).withColumn("payload", F.parse_json(text))
     return rows.select("event_id", F.array_join(string_list(raw_field(F.col("payload"), "changed_files")), "|").alias("files"))
@@ -238,7 +238,8 @@ def workflow_run_failures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evaluation_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as cases: the first benchmark words as root cause, against the text as report and the source as trigger."""
+    """Documents as cases: a benchmark passage as root cause and its words as logs, against the text as report and the
+    source as trigger."""
     docs = V.table(spark, folder, "documents")
     items = V.table(spark, folder, "benchmark")
     total = items.agg(F.count(F.lit(1)).alias("total"))
@@ -246,10 +247,10 @@ def evaluation_metrics(spark: SparkSession, folder: str) -> DataFrame:
     joined = keyed.join(items.select("item_id", F.col("text").alias("passage")), "item_id")
     words = F.split("passage", " ")
     case = F.struct(
-        F.get(words, F.lit(0)).alias("root_cause"), F.col("source").alias("trigger"), F.when(F.col("lang") == "en", F.col("text")).alias("report"),
+        F.col("passage").alias("root_cause"), F.col("source").alias("trigger"), F.when(F.col("lang") == "en", F.col("text")).alias("report"),
         F.when(F.col("lang") != "en", F.col("text")).alias("predicted_root_cause"),
-        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("x"), F.lit("y"), F.get(words, F.lit(0)), F.get(words, F.lit(1)))).alias("root_cause_candidates"),
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("after "), F.col("source"))).alias("predicted_trigger"), F.slice(words, 1, 5).alias("logs"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("x"), F.lit("y"), F.col("passage"), F.lit("z"))).alias("root_cause_candidates"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("after "), F.col("source"))).alias("predicted_trigger"), words.alias("logs"),
         F.when(F.col("doc_id") % 4 == 0, F.lit(9)).alias("baseline_triage_steps"), F.when(F.col("doc_id") % 5 == 0, F.lit(3)).alias("assisted_triage_steps"),
     )
     cases = joined.select(F.try_parse_json(F.to_json(case)).alias("payload"))
@@ -306,7 +307,7 @@ def pending_embedding_rows(spark: SparkSession, folder: str) -> DataFrame:
 def upsert_latest_wins(spark: SparkSession, folder: str) -> DataFrame:
     """Line items upserted over the orders' rows by order key, the highest line number winning."""
     current = V.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("value"))
-    incoming = V.table(spark, folder, "lineitem").filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("value"), "l_linenumber", "l_partkey")
+    incoming = V.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("value"), "l_linenumber", "l_partkey")
     return merge_rows(current, incoming.withColumn("value", F.concat("value", F.lit("-"), F.col("l_partkey").cast("string"))), ["id"], [F.col("l_linenumber"), F.col("l_partkey")])
 
 

@@ -14,7 +14,6 @@ from embertrail.session import durable
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return widen(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
 
 
@@ -28,6 +27,15 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
+def run_of(ts: Column) -> Column:
+    """A run per day, numbered by the day since the epoch."""
+    return F.unix_date(ts.cast("date")).cast("bigint")
+
+
+def session_of() -> Column:
+    return F.col("user_id") * 100_000 + run_of(F.col("ts"))
+
+
 def node() -> Column:
     return F.floor(F.col("user_id") / 16).cast("bigint")
 
@@ -40,7 +48,7 @@ def logs(spark: SparkSession, folder: str) -> DataFrame:
     )
     return events(spark, folder).select(
         F.format_string("log-%012d", "event_id").alias("log_id"), "ts", F.concat(F.lit("svc-"), (F.col("user_id") % 4).cast("string")).alias("service"),
-        level.alias("level"), message.alias("message"), (F.col("user_id") * 1000 + F.dayofmonth("ts")).alias("session_id"),
+        level.alias("level"), message.alias("message"), session_of().alias("session_id"),
     )
 
 
@@ -70,10 +78,6 @@ def clusters(spark: SparkSession, folder: str) -> DataFrame:
     return cluster_snapshots(members(spark, folder))
 
 
-def run_of(ts: Column) -> Column:
-    return F.dayofmonth(ts).cast("bigint")
-
-
 def daily_history(spark: SparkSession, folder: str, of: DataFrame | None = None) -> DataFrame:
     """One clustering run per day: the day's size and example per signature cluster."""
     rows = (members(spark, folder) if of is None else of).withColumn("run_id", run_of(F.col("ts")))
@@ -90,19 +94,18 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def episodes(spark: SparkSession, folder: str) -> DataFrame:
     """Every (cluster, day) as a cluster of its own, with that day's lifetime."""
-    return daily_history(spark, folder).withColumn("cluster_id", F.col("cluster_id") * 100 + F.col("run_id"))
+    return daily_history(spark, folder).withColumn("cluster_id", F.col("cluster_id") * 100_000 + F.col("run_id"))
 
 
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """A run session per user and day on which the user did not only look around; half of them have ended."""
-    acted = F.col("event_type") != "view"
-    number = F.col("user_id") * 1000 + F.dayofmonth("ts")
-    folded = events(spark, folder).filter(acted).groupBy(number.alias("session_id")).agg(
+    """A run session per user and day; half of them have ended, and every seventh carries a number that no log has."""
+    folded = events(spark, folder).groupBy(session_of().alias("session_id")).agg(
         F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.max("k").alias("k")
     )
     even = F.col("k") % 2 == 0
+    number = F.when(F.col("k") % 7 == 0, -F.col("session_id")).otherwise(F.col("session_id"))
     return folded.select(
-        "session_id", F.concat(F.lit("run job-"), F.col("k").cast("string")).alias("command"), "started_at",
+        number.alias("session_id"), F.concat(F.lit("run job-"), F.col("k").cast("string")).alias("command"), "started_at",
         F.when(even, F.col("ended_at")).alias("ended_at"), F.when(even, (F.col("k") % 3).cast("int")).alias("exit_code"),
         F.when(F.col("k") % 5 != 0, F.concat(F.lit("sha"), F.col("k").cast("string"))).alias("git_sha"),
     )
@@ -115,7 +118,7 @@ LOGS = """logs AS (
   SELECT 'log-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS log_id, ts, 'svc-' || (user_id % 4) AS service,
          CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END AS level,
          event_type || ' failed on node n' || (user_id // 16) || ' code ' || k || ' at 0x' || printf('%x', k) AS message,
-         user_id * 1000 + day(ts) AS session_id
+         user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS session_id
   FROM ev)"""
 DEPLOYS = """deploys AS (
   SELECT 'deploy-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS deploy_id, ts AS deployed_at, 'svc-' || (user_id % 4) AS service,
@@ -139,14 +142,14 @@ CLUSTERS = """clusters AS (
          list_sort(list(DISTINCT service)) AS services
   FROM members GROUP BY cluster_id, cluster_key)"""
 HISTORY = """history AS (
-  SELECT day(ts) AS run_id, cluster_id, cluster_key, count(*) AS log_count, min(ts) AS first_seen, max(ts) AS last_seen,
+  SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS run_id, cluster_id, cluster_key, count(*) AS log_count, min(ts) AS first_seen, max(ts) AS last_seen,
          arg_min(message, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || log_id) AS example_message, min(service) AS service
   FROM members GROUP BY ALL)"""
 SESSIONS = """sessions AS (
-  SELECT session_id, 'run job-' || k AS command, started_at, CASE WHEN k % 2 = 0 THEN ended_at END AS ended_at,
+  SELECT CASE WHEN k % 7 = 0 THEN -session_id ELSE session_id END AS session_id, 'run job-' || k AS command, started_at, CASE WHEN k % 2 = 0 THEN ended_at END AS ended_at,
          CASE WHEN k % 2 = 0 THEN k % 3 END AS exit_code, CASE WHEN k % 5 <> 0 THEN 'sha' || k END AS git_sha
-  FROM (SELECT user_id * 1000 + day(ts) AS session_id, min(ts) AS started_at, max(ts) AS ended_at, max(k) AS k
-        FROM ev WHERE event_type <> 'view' GROUP BY 1))"""
+  FROM (SELECT user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS session_id, min(ts) AS started_at, max(ts) AS ended_at, max(k) AS k
+        FROM ev GROUP BY 1))"""
 BASE = ",\n".join([EVENTS, LOGS])
 CLUSTERED = ",\n".join([BASE, SIGNATURES, MEMBERS])
 
