@@ -62,20 +62,25 @@ def _best_work(threshold: float):
     return work
 
 
+def _no_match(latest: DataFrame) -> DataFrame:
+    kind = latest.schema["cluster_id"].dataType.simpleString()
+    return latest.sparkSession.createDataFrame([], f"cluster_id {kind}, matched_id bigint, matched_size bigint, score double")
+
+
 def best_matches(
     latest: DataFrame, previous: DataFrame, threshold: float = 0.92, keys_may_match: bool = False, tile_rows: int = TILE_ROWS
-) -> DataFrame | None:
+) -> DataFrame:
     """`(cluster_id, matched_id, matched_size, score)` for the rows of `latest` whose best match reaches the threshold.
 
     Without equal keys a score is at most 0.85 (centroid and service weights), so a higher threshold matches nothing:
-    the answer is then None and nothing is read. Otherwise a match needs a centroid cosine of at least
+    the answer is then empty and nothing is read. Otherwise a match needs a centroid cosine of at least
     (threshold - 0.25 [- 0.15]) / 0.6; the vectors are zoned for that radius, and each tile hands on one candidate per
     row. Only when that bound is not positive must every block meet every other.
     """
     slack = 1e-9
     ceiling = CENTROID_WEIGHT + SERVICE_WEIGHT + (KEY_WEIGHT if keys_may_match else 0.0)
     if threshold > ceiling + slack:
-        return None
+        return _no_match(latest)
     columns = ["cluster_id", "cluster_key", "log_count", "services", "centroid"]
     clean = [
         df.select(*columns).withColumn("services", F.filter("services", lambda s: s.isNotNull() & (s != "")))
@@ -83,7 +88,7 @@ def best_matches(
     ]
     need = (threshold - SERVICE_WEIGHT - (KEY_WEIGHT if keys_may_match else 0.0)) / CENTROID_WEIGHT - slack
     left, right = [
-        durable(df.withColumn("row_id", F.xxhash64("cluster_id")).withColumn("weight", F.lit(1)).withColumn("zone", F.lit(0)))
+        durable(df.withColumn("row_id", F.xxhash64("cluster_id")).withColumn("weight", F.lit(1)).withColumn("zone", F.lit(0)).withColumn("reach", F.array(F.lit(0))))
         for df in clean
     ]
     if need > 0:
@@ -94,7 +99,7 @@ def best_matches(
         pairs = pd.DataFrame([(0, 0)], columns=["zone_a", "zone_b"]) if all(len(s) for s in sizes) else None
         pairs_of = None if pairs is None else (left, right, pairs, *blocks)
     if pairs_of is None:
-        return left.select("cluster_id", F.col("cluster_id").alias("matched_id"), F.col("log_count").alias("matched_size"), F.lit(0.0).alias("score")).limit(0)
+        return _no_match(latest)
     rows = tile_rows_between(*pairs_of)
     found = per_tile(rows, _best_work(threshold), "cluster_id long, score double, matched_id long, matched_size long", one_table=False)
     best = top_rows(found, ["cluster_id"], [F.desc("score"), F.desc("matched_size"), F.asc("matched_id")], 1)
@@ -103,7 +108,7 @@ def best_matches(
 
 def _zoned(left: DataFrame, right: DataFrame, need: float, tile_rows: int):
     """Zones per vector width (a positive cosine needs equal widths and no zero vector)."""
-    usable = [df.filter(F.exists("centroid", lambda x: x != 0)) for df in (left, right)]
+    usable = [df.drop("reach").filter(F.exists("centroid", lambda x: x != 0)) for df in (left, right)]
     widths = [{r[0] for r in df.select(F.size("centroid")).distinct().collect()} for df in usable]
     radius = math.sqrt(max(0.0, 2.0 * (1.0 - need)))
     shift = 0
@@ -118,8 +123,9 @@ def _zoned(left: DataFrame, right: DataFrame, need: float, tile_rows: int):
         tables.append(close)
         for target, stat in ((blocks_a, stats[0]), (blocks_b, stats[1])):
             target.update({z + shift: n for z, n in zoning.blocks(stat).items()})
-        for side, df in zip(sides, placed):
-            side.append(df.drop("vector").withColumn("zone", F.col("zone") + F.lit(shift)))
+        for side, df, others in zip(sides, placed, reversed(stats)):
+            moved = F.transform("reach", lambda z: z + F.lit(shift))
+            side.append(zoning.reach(df, others).drop("vector").withColumn("zone", F.col("zone") + F.lit(shift)).withColumn("reach", moved))
         shift += len(zoning.pivots) * zoning.rings
     if not tables:
         return None

@@ -329,11 +329,11 @@ def _vector_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def close_neighbour_counts(spark: SparkSession, folder: str) -> DataFrame:
     points = _vector_rows(spark, folder).select(F.col("vec_id").alias("row_id"), F.lit(1).cast("bigint").alias("weight"), "vector")
-    return neighbour_counts(points, 0.6).select(F.col("row_id").alias("vec_id"), "neighbours")
+    return neighbour_counts(points, 0.6, V.CHECKED_TILE_ROWS).select(F.col("row_id").alias("vec_id"), "neighbours")
 
 
 def density_cluster_rows(spark: SparkSession, folder: str) -> DataFrame:
-    labels = density_clusters(_vector_rows(spark, folder).drop("vec_id"), 0.6, 2)
+    labels = density_clusters(_vector_rows(spark, folder).drop("vec_id"), 0.6, 2, V.CHECKED_TILE_ROWS)
     return labels.select(F.col("log_id").cast("bigint").alias("vec_id"), "cluster_id")
 
 

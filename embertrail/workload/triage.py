@@ -20,6 +20,7 @@ from embertrail.plans.summaries import summarize_clusters, summary_prompts
 from embertrail.schemas import EVIDENCE, INCIDENTS, REGRESSIONS
 from embertrail.session import durable
 from embertrail.workload import views as V
+from embertrail.workload.views import CHECKED_TILE_ROWS
 
 WINDOW = 720
 
@@ -117,7 +118,7 @@ def best_cluster_matches(spark: SparkSession, folder: str) -> DataFrame:
         F.col("vec_id").alias("cluster_id"), F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("cluster_key"),
         (F.col("vec_id") % 7 + 1).alias("log_count"), service("vec_id").alias("services"), F.col("vector").alias("centroid"),
     )
-    found = best_matches(latest, previous, threshold=0.5)
+    found = best_matches(latest, previous, threshold=0.5, tile_rows=CHECKED_TILE_ROWS)
     return found.select("cluster_id", "matched_id", "matched_size", F.round("score", 6).alias("score"))
 
 

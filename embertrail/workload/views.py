@@ -13,6 +13,10 @@ from embertrail.plans.clusters import cluster_snapshots, signature_clusters
 from embertrail.session import durable
 
 
+# Tiles of this size make many zones and tiles meet on the given tables; larger ones are for larger tables.
+CHECKED_TILE_ROWS = 64
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return widen(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
 
