@@ -28,7 +28,7 @@ from embertrail.session import durable
 BLANKS = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 KICKS = 500
-# Postings that one probing task holds; a shard with more is split over several tasks.
+# Postings that one probing task holds at most; a shard with more, or with more than the mean shard, is split.
 PROBE_ROWS = 200_000
 
 
@@ -232,7 +232,9 @@ def doomed_lines(index: LineIndex) -> DataFrame:
     Postings meet their shard's filter; a shard with many postings (a line of a third of all documents) is split by
     document, each part with its copy of the small filter. What passes is confirmed by the exact table.
     """
-    loads = index.postings.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBE_ROWS).cast("int").alias("parts"))
+    loads = index.postings.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    fair = loads.agg(F.least(F.lit(float(PROBE_ROWS)), F.greatest(F.lit(1.0), F.avg("rows"))).alias("fair"))
+    loads = loads.crossJoin(F.broadcast(fair)).select("shard", F.ceil(F.col("rows") / F.col("fair")).cast("int").alias("parts"))
     sent = index.postings.join(F.broadcast(loads), "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).drop("parts")
     filters = index.filters.join(F.broadcast(loads), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
