@@ -26,7 +26,7 @@ from embertrail.llm.common import by_slices
 # Texts that are held as encodings at a time.
 ENCODED_ROWS = 64
 # Pieces of text whose ids a worker remembers, and the longest that is remembered.
-PIECES, PIECE_CHARS = 400_000, 48
+PIECES, PIECE_CHARS = 1_000_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -89,16 +89,17 @@ class Codec:
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text; every distinct piece that the pattern makes is encoded once and remembered."""
-        split = [self.split.findall(text) for text in texts]
         if len(self.known) > PIECES:
             self.known.clear()
-        new = [x for x in set(chain.from_iterable(split)) if x not in self.known]
-        found = [e.ids for e in self.pieces.encode_batch_fast(new, add_special_tokens=False)]
-        long = {x: ids for x, ids in zip(new, found) if len(x) > PIECE_CHARS}
-        self.known.update((x, ids) for x, ids in zip(new, found) if len(x) <= PIECE_CHARS)
-        if long:
-            return [[*chain.from_iterable(self.known[x] if len(x) <= PIECE_CHARS else long[x] for x in pieces)] for pieces in split]
-        return [[*chain.from_iterable(map(self.known.__getitem__, pieces))] for pieces in split]
+        split = [self.split.findall(text) for text in texts]
+        found = [[*map(self.known.get, pieces)] for pieces in split]
+        new = [*{piece for pieces, ids in zip(split, found) if None in ids for piece, own in zip(pieces, ids) if own is None}]
+        fresh = dict(zip(new, (e.ids for e in self.pieces.encode_batch_fast(new, add_special_tokens=False))))
+        self.known.update((piece, ids) for piece, ids in fresh.items() if len(piece) <= PIECE_CHARS)
+        for pieces, ids in zip(split, found):
+            if None in ids:
+                ids[:] = [fresh[piece] if own is None else own for piece, own in zip(pieces, ids)]
+        return [[*chain.from_iterable(ids)] for ids in found]
 
     def ids_and_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """Ids with the (start, end) code points that each token touches."""
