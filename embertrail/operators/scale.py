@@ -128,10 +128,11 @@ def salted_join(
 def lookup_join(
     facts: DataFrame, lookups: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Join to a lookup side: broadcast when its measured size allows it (the facts are not shuffled), else salted."""
-    if measured_bytes(lookups) <= BROADCAST_BYTES:
-        return facts.join(F.broadcast(lookups), keys, how)
-    return salted_join(facts, lookups, keys, spread_by, how)
+    """Join to a lookup side. Once the sides are shuffled their true sizes are known: adaptive execution then turns the
+    join into a broadcast below `spark.sql.adaptive.autoBroadcastJoinThreshold`, and splits the partitions of hot keys
+    beyond it. Nothing is run ahead of the query to size a side. `spread_by` names what tells a hot key's rows apart, for
+    callers that salt a materialized side with `salted_join` instead."""
+    return facts.join(lookups, keys, how)
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

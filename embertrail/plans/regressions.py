@@ -131,11 +131,13 @@ def regression_order() -> list[Column]:
     ]
 
 
+def stored_order() -> list[Column]:
+    """Newest deploy first, then high before medium (ranked, not compared as text)."""
+    return [F.desc("deployed_at"), F.desc(F.col("severity") == "high"), F.desc("delta"), F.asc("deploy_id"), F.asc("cluster_id"), F.asc("regression_type")]
+
+
 def list_regressions(regressions: DataFrame) -> DataFrame:
-    """Stored regressions, newest deploy first, then high before medium (ranked, not compared as text)."""
-    return regressions.orderBy(
-        F.desc("deployed_at"), F.desc(F.col("severity") == "high"), F.desc("delta"), F.asc("deploy_id"), F.asc("cluster_id")
-    )
+    return regressions.orderBy(*stored_order())
 
 
 def merge_regressions(current: DataFrame, found: DataFrame) -> DataFrame:

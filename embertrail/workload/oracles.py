@@ -284,10 +284,14 @@ SQL = {
     "incident_explanations": with_tables(*EXPLANATION) + "SELECT incident_id, representative_logs, related_sessions, root_cause_hypothesis FROM explained",
     "incident_reports": with_tables(*EXPLANATION) + f"SELECT incident_id, CAST(section AS BIGINT) AS section, text FROM ({REPORT})",
     "incident_summaries": with_tables(*EXPLANATION) + """
-        , lists AS (SELECT incident_id, string_agg(details, '; ' ORDER BY place) AS deploys FROM evidence WHERE evidence_type = 'deploy_correlation' GROUP BY 1)
-        SELECT incident_id, 'Incident ' || incident_id || ' is ' || status || ' with ' || severity || ' severity. ' || summary || coalesce(' Correlated deploys: ' || deploys || '.', '')
-               || coalesce(' Recent sessions: ' || two || '.', '') || ' Hypothesis: ' || root_cause_hypothesis AS paragraph
-        FROM explained LEFT JOIN lists USING (incident_id)""",
+        , numbered AS (
+          SELECT incident_id, details, row_number() OVER (PARTITION BY incident_id ORDER BY place) AS i, count(*) OVER (PARTITION BY incident_id) AS n
+          FROM evidence WHERE evidence_type = 'deploy_correlation')
+        SELECT incident_id, 0 AS section, 'Incident ' || incident_id || ' is ' || status || ' with ' || severity || ' severity. ' || summary AS text FROM explained
+        UNION ALL SELECT incident_id, 1, CASE WHEN i = 1 THEN ' Correlated deploys: ' ELSE '; ' END || details || CASE WHEN i = n THEN '.' ELSE '' END
+        FROM numbered WHERE incident_id IN (SELECT incident_id FROM explained)
+        UNION ALL SELECT incident_id, 2, ' Recent sessions: ' || two || '.' FROM explained WHERE two IS NOT NULL
+        UNION ALL SELECT incident_id, 3, ' Hypothesis: ' || root_cause_hypothesis FROM explained""",
     "cluster_timeline": with_tables(*REGRESSION_TABLES, REGRESSION_INCIDENTS) + f"""
         , ids AS (SELECT *, row_number() OVER (ORDER BY deployed_at, deploy_id, after_count DESC, cluster_id, regression_type) AS regression_id FROM regressions)
         SELECT cluster_id, 'logs' AS event_type, {inst('ts')} AS ts, count(*) || ' log(s)' AS title, 'Cluster ' || cluster_id || ' observed ' || count(*) || ' log(s).' AS details

@@ -337,13 +337,6 @@ def density_cluster_rows(spark: SparkSession, folder: str) -> DataFrame:
     return labels.select(F.col("log_id").cast("bigint").alias("vec_id"), "cluster_id")
 
 
-def message_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of every document text, equal texts embedded once."""
-    docs = V.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("log_id"), F.col("text").alias("message"))
-    rows = embed_logs(docs, spark.createDataFrame([], EMBEDDINGS))
-    return rows.select("log_id", F.size("vector").alias("width"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
-
-
 def live_stream_incidents(spark: SparkSession, folder: str) -> DataFrame:
     """All events as rolled log files (the month's two halves), followed by the live stream; returns the incidents it leaves."""
     source, root = _scratch(spark, "stream"), _scratch(spark, "store")
@@ -380,6 +373,5 @@ QUERIES = {
     "vector_similarity": vector_similarity,
     "close_neighbour_counts": close_neighbour_counts,
     "density_clusters": density_cluster_rows,
-    "message_embeddings": message_embeddings,
     "live_stream_incidents": live_stream_incidents,
 }

@@ -15,7 +15,7 @@ from embertrail.plans.incidents import (
     Promotion, apply_status_changes, explain_incidents, promote_anomalies, promote_regressions,
 )
 from embertrail.plans.regressions import detect_regressions, merge_regressions, window_counts
-from embertrail.plans.reports import cluster_reports, cluster_timeline, incident_paragraphs, incident_report_lines
+from embertrail.plans.reports import cluster_reports, cluster_timeline, incident_paragraph_lines, incident_report_lines
 from embertrail.plans.summaries import summarize_clusters, summary_prompts
 from embertrail.schemas import EVIDENCE, INCIDENTS, REGRESSIONS
 from embertrail.session import durable
@@ -153,6 +153,14 @@ def _promoted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, P
     return members, regressions, _regression_incidents(spark, members, regressions)
 
 
+def promoted_incidents(spark: SparkSession, folder: str) -> DataFrame:
+    return _promoted(spark, folder)[2].incidents
+
+
+def found_regressions(spark: SparkSession, folder: str) -> DataFrame:
+    return durable(_regressions(spark, folder))
+
+
 def _anomaly_incidents(spark: SparkSession, folder: str, members: DataFrame | None = None) -> Promotion:
     members = V.members(spark, folder) if members is None else members
     history = durable(V.daily_history(spark, folder, members))
@@ -216,7 +224,7 @@ def incident_reports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def incident_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    return incident_paragraphs(*_explained(spark, folder))
+    return incident_paragraph_lines(*_explained(spark, folder)).select("incident_id", "section", "text")
 
 
 def timeline(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,7 +20,7 @@ from embertrail.plans.evaluate import case_columns, evaluate
 from embertrail.plans.incidents import apply_status_changes, explain_incidents, fold_incidents, incident_detail, list_incidents, promote_regressions
 from embertrail.plans.ingest import ingest_ci, ingest_deploys, ingest_logs
 from embertrail.plans.regressions import detect_regressions, list_regressions, window_counts
-from embertrail.plans.reports import cluster_reports, cluster_timeline, incident_paragraphs, incident_report_lines, timeline_order, write_incident_reports
+from embertrail.plans.reports import cluster_reports, cluster_timeline, incident_paragraph_lines, incident_report_lines, timeline_order, write_incident_reports
 from embertrail.plans.sessions import fold_sessions
 from embertrail.plans.summaries import dominant_levels, summarize_clusters, summarize_with
 from embertrail.schemas import CLUSTER_HISTORY, EVIDENCE, INCIDENTS, RUN_SESSIONS
@@ -73,7 +73,7 @@ def test_deploy_bound_regression_end_to_end(spark, tmp_path):
     explained = explain_incidents(done.incidents, done.evidence, members, read_table(spark, root, "run_sessions"))
     hypothesis = explained.first()["root_cause_hypothesis"]
     assert hypothesis.startswith("Likely deploy-introduced regression: frequency_spike_after_deploy: deploy=deploy-api-9")
-    paragraph = incident_paragraphs(explained, done.evidence).first()["paragraph"]
+    paragraph = "".join(r["text"] for r in incident_paragraph_lines(explained, done.evidence).orderBy("incident_id", "section", "line_no").collect())
     assert paragraph.startswith("Incident 1 is open with medium severity. ") and "Correlated deploys: deploy=deploy-api-9" in paragraph
     write_incident_reports(incident_report_lines(explained, done.evidence), str(tmp_path / "reports"))
     text = "\n".join(p.read_text() for p in sorted((tmp_path / "reports" / "incident_id=1").glob("part-*")))
