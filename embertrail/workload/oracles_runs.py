@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from embertrail.workload.oracles import REGRESSION_INCIDENTS, REGRESSION_TABLES
+from embertrail.workload.oracles import ANOMALIES, LAST_ANOMALIES, REGRESSION_INCIDENTS, REGRESSION_TABLES, STEPS
 from embertrail.workload.oracles_records import CI
-from embertrail.workload.views import BASE, CLUSTERED, CLUSTERS, EVENTS, sql_instant as inst, with_tables
+from embertrail.workload.views import BASE, CLUSTERED, CLUSTERS, EVENTS, SIGNATURES, sql_instant as inst, with_tables
 
 RUN = with_tables(BASE, """typed AS (SELECT logs.*, split_part(message, ' ', 1) AS kind FROM logs),
 kinds AS (
@@ -12,7 +12,20 @@ kinds AS (
   FROM typed WHERE kind <> 'signup' GROUP BY kind HAVING count(*) >= 2),
 members AS (SELECT * FROM typed JOIN kinds USING (kind))""")
 
+# The stream's first run sees the month's first half, the second run all of it; clusters are the kinds of message.
+LIVE = with_tables(BASE, SIGNATURES, """seen AS (
+  SELECT run_id, sigs.*, split_part(message, ' ', 1) AS kind FROM sigs, (SELECT unnest([1, 2]) AS run_id) WHERE run_id = 2 OR day(ts) <= 15),
+placed AS (SELECT * FROM seen WHERE kind <> 'signup' QUALIFY count(*) OVER (PARTITION BY run_id, kind) >= 2),
+grouped AS (
+  SELECT run_id, kind, count(*) AS log_count, min(ts) AS first_seen, max(ts) AS last_seen, arg_min(message, ts) AS example_message,
+         list_sort(list(DISTINCT service)) AS names, list_sort(list(DISTINCT signature))[1:5] AS signatures FROM placed GROUP BY run_id, kind),
+history AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first_seen) - 1 AS cluster_id, names[1] AS service,
+         substr(sha256(array_to_string(names, ',') || '|' || array_to_string(signatures, chr(31))), 1, 16) AS cluster_key FROM grouped),
+run_list AS (SELECT DISTINCT run_id FROM history)""", STEPS[STEPS.index("steps AS"):], ANOMALIES, LAST_ANOMALIES)
+
 SQL = {
+    "live_stream_incidents": LIVE + "SELECT cluster_key, status, severity, title, current_size FROM found_incidents",
     "message_embeddings": """
         SELECT CAST(doc_id AS VARCHAR) AS log_id, CAST(length(text) AS DOUBLE) AS v0, CASE WHEN contains(text, 'the') THEN 1.0::DOUBLE ELSE 0 END AS v1,
                CASE WHEN contains(text, ' de ') THEN 1.0::DOUBLE ELSE 0 END AS v2, CASE WHEN contains(text, '!') THEN 1.0::DOUBLE ELSE 0 END AS v3 FROM documents""",

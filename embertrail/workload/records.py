@@ -11,21 +11,18 @@ from embertrail.functions.services import service_from_message
 from embertrail.functions.timestamps import parse_timestamp
 from embertrail.functions.vectors import cosine_similarity, jaccard
 from embertrail.operators.density import density_clusters, neighbour_counts
-from embertrail.operators.tables import merge_rows, pending_embeddings, read_table
+from embertrail.operators.tables import merge_rows, pending_embeddings
 from embertrail.plans.ci import ci_patterns
 from embertrail.plans.deploys import enrich_deploys
-from embertrail.plans.embed import embed_logs
 from embertrail.plans.evaluate import case_columns, evaluate
 from embertrail.plans.sessions import fold_sessions
 from embertrail.plans.summaries import generated_summaries
-from embertrail.schemas import EMBEDDINGS
 from embertrail.session import durable, scratch_root
 from embertrail.sources.ci import failures_from_runs, normalize_ci
 from embertrail.sources.deploys import commits_from_api, deploys_from_api, normalize_deploys
 from embertrail.sources.lines import number_lines, text_lines
 from embertrail.sources.logs import logs_from_lines, normalize_live_lines, normalize_logs, read_logs
 from embertrail.sources.payloads import explode_documents, payloads_from_text
-from embertrail.streaming.live import LiveTriage
 from embertrail.workload import views as V
 
 
@@ -37,7 +34,7 @@ def _iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
+def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/embertrail-{name}-{uuid.uuid4().hex}"
 
 
@@ -123,7 +120,7 @@ def live_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_file_lines(spark: SparkSession, folder: str) -> DataFrame:
     """All document texts as plain-text log files, read back line by line."""
-    path = _scratch(spark, "text")
+    path = scratch(spark, "text")
     V.table(spark, folder, "documents").select("text").write.text(path)
     logs = logs_from_lines(number_lines(text_lines(spark, path)))
     return logs.groupBy(F.sha2("message", 256).alias("message_hash")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("raw").alias("places")).select("message_hash", "n")
@@ -131,7 +128,7 @@ def text_file_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def jsonl_file_logs(spark: SparkSession, folder: str) -> DataFrame:
     """All events as a JSONL file, read back as logs."""
-    path = _scratch(spark, "jsonl")
+    path = scratch(spark, "jsonl")
     V.events(spark, folder).select("event_id", _iso(F.col("ts")).alias("timestamp"), F.col("event_type").alias("message"), F.col("props").alias("level")).write.json(path)
     logs, _ = read_logs(spark, path, "jsonl")
     return logs.select(F.get_json_object("raw", "$.event_id").cast("bigint").alias("event_id"), V.instant(F.col("ts")).alias("ts"), "message", "level")
@@ -139,7 +136,7 @@ def jsonl_file_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 def csv_file_logs(spark: SparkSession, folder: str) -> DataFrame:
     """All page addresses and conversation-free columns as CSV with quoted markup, read back as logs."""
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     V.table(spark, folder, "pages").select("page_id", F.col("url").alias("service"), F.col("html").alias("message")).write.option("header", True).option("escape", '"').csv(path)
     logs, _ = read_logs(spark, path, "csv")
     return logs.select(F.get_json_object("raw", "$.page_id").cast("bigint").alias("page_id"), "service", F.sha2("message", 256).alias("message_hash"))
@@ -337,18 +334,6 @@ def density_cluster_rows(spark: SparkSession, folder: str) -> DataFrame:
     return labels.select(F.col("log_id").cast("bigint").alias("vec_id"), "cluster_id")
 
 
-def live_stream_incidents(spark: SparkSession, folder: str) -> DataFrame:
-    """All events as rolled log files (the month's two halves), followed by the live stream; returns the incidents it leaves."""
-    source, root = _scratch(spark, "stream"), _scratch(spark, "store")
-    half = F.when(F.dayofmonth("ts") <= 15, 0).otherwise(1)
-    halves = durable(V.logs(spark, folder).select(half.alias("half"), F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "service", "level", "message")).alias("value")))
-    live = LiveTriage(root=root, eps=0.1, min_samples=2)
-    for number in range(2):
-        halves.filter(F.col("half") == number).select("value").write.mode("append").text(source)
-        live.start(spark, source, f"{root}/checkpoint", every=None).awaitTermination()
-    return read_table(spark, root, "incidents").select("cluster_key", "status", "severity", "title", "current_size")
-
-
 QUERIES = {
     "service_inference": service_inference,
     "logs_normalized": logs_normalized,
@@ -373,5 +358,4 @@ QUERIES = {
     "vector_similarity": vector_similarity,
     "close_neighbour_counts": close_neighbour_counts,
     "density_clusters": density_cluster_rows,
-    "live_stream_incidents": live_stream_incidents,
 }
