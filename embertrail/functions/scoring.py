@@ -53,6 +53,7 @@ def regression_reason(
     regression_type: Column, service: Column, deploy_id: Column, commit_sha: Column, before: Column, after: Column,
     percent: Column, changed_files: Column,
 ) -> Column:
+    # Fixed texts: these sentences must match.
     opening = (
         F.when(regression_type == "new_cluster_after_deploy", F.lit("New error cluster appeared in "))
         .when(regression_type == "frequency_spike_after_deploy", F.lit("Error cluster frequency spiked in "))

@@ -13,6 +13,7 @@ from embertrail.functions.timestamps import timestamp_text
 from embertrail.operators.representatives import first_logs, ordered_texts
 from embertrail.plans.deploys import correlate_deploys
 
+# Fixed texts: these sentences, and those of the prompt below, must match.
 TEMPLATE_CAUSE = (
     "Likely a recurring issue in the affected service path. Inspect the representative logs and recent deploys around "
     "the first occurrence."

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,7 @@ from embertrail.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "embertrail-tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
-        spark__default__parallelism="4",
+        spark__default__parallelism="4", spark__checkpoint__dir=tempfile.mkdtemp(prefix="embertrail-tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
