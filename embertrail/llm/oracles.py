@@ -28,13 +28,22 @@ windows AS (
   SELECT doc_id, i, [w, lead(w) OVER o, lead(w, 2) OVER o] AS three, lead(w, 2) OVER o IS NOT NULL AS whole FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 again AS (SELECT doc_id, i FROM windows WHERE whole QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT i + step) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS step) GROUP BY doc_id),
-buckets AS (SELECT doc_id, i, CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) AS b FROM word),
+t0 AS (SELECT range AS n, range AS c FROM range(256)),
+CRC_STEPS
+crc AS (SELECT list(c ORDER BY n) AS lookup FROM t8),
+spelled AS (
+  SELECT w, list_transform(range(octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS octets
+  FROM (SELECT DISTINCT w FROM word)),
+hashed AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], octets), lambda a, o: xor(a >> 8, lookup[(xor(a, o) & 255) + 1])), 4294967295::BIGINT) % 32768 AS b
+  FROM spelled, crc),
+buckets AS (SELECT doc_id, i, b FROM word JOIN hashed USING (w)),
 grams AS (
   SELECT doc_id, b AS gram FROM buckets
-  UNION ALL SELECT doc_id, 65536 + (b * 31 + nxt) % 65536 FROM (SELECT *, lead(b) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM buckets) WHERE nxt IS NOT NULL),
+  UNION ALL SELECT doc_id, 32768 + (b * 31 + nxt) % 32768 FROM (SELECT *, lead(b) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM buckets) WHERE nxt IS NOT NULL),
 trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
 counts AS (
-  SELECT gram, gram >= 65536 AS kind, count(*) AS corpus, count(trusted.doc_id) AS target
+  SELECT gram, gram >= 32768 AS kind, count(*) AS corpus, count(trusted.doc_id) AS target
   FROM grams LEFT JOIN trusted USING (doc_id) GROUP BY gram),
 totals AS (SELECT kind, sum(corpus) AS all_corpus, sum(target) AS all_target FROM counts GROUP BY kind),
 ratios AS (
@@ -100,7 +109,8 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= threshold TH
 
 OP7 = r"""
 WITH docs AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size,
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS hash
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
@@ -124,4 +134,9 @@ SELECT doc_id, size, source_size, target, CAST(size * times AS BIGINT) AS taken
 FROM docs JOIN taken ON docs.source IS NOT DISTINCT FROM taken.source AND docs.hash = taken.hash
 """
 
+# The table of CRC-32 (reflected polynomial 0xEDB88320), eight shifts per byte.
+OP2 = OP2.replace("CRC_STEPS", "\n".join(
+    f"t{i} AS (SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM t{i - 1})," for i in range(1, 9)
+))
+
 SQL = {"op4_url_markov": OP4, "op7_source_mix": OP7, "op2_quality_rules": OP2, "op10_line_dedup": OP10}

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from embertrail.llm.common import SPACE
 from embertrail.session import durable
 
-# Buckets of each n-gram length: the first four hexadecimal digits of a word's MD5, and a mix of two words' buckets.
-BUCKETS = 1 << 16
+# Buckets of each n-gram length: a word's CRC-32, and a mix of two words' buckets, modulo a number that fits two bytes.
+BUCKETS = 1 << 15
 # Occurrences added to each bucket of both multinomials, once the corpus is scaled to the target's size. What is seen once
 # or twice then says little, so that documents outside the target do not lose by their rare words.
 SMOOTHING = 5.0
@@ -35,11 +35,11 @@ def words_of(text: Column) -> Column:
 
 
 def word_bucket(word: Column) -> Column:
-    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 4), 16, 10).cast("int")
+    return (F.crc32(word.cast("binary")) % BUCKETS).cast("smallint")
 
 
 def pair_bucket(first: Column, second: Column) -> Column:
-    return F.lit(BUCKETS) + (first * 31 + second) % BUCKETS
+    return F.lit(BUCKETS) + (first.cast("int") * 31 + second) % BUCKETS
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def _numbered_grams(rows: DataFrame, *carry: str) -> DataFrame:
     pairs = F.when(
         F.size("grams") > 1, F.transform(F.slice("grams", 1, F.greatest(F.size("grams") - 1, F.lit(1))), lambda x, i: pair_bucket(x, F.get("grams", i + 1)))
     ).otherwise(F.array().cast("array<int>"))
-    return rows.select(*carry, F.explode(F.concat("grams", pairs)).alias("gram"))
+    return rows.select(*carry, F.explode(F.concat(F.col("grams").cast("array<int>"), pairs)).alias("gram"))
 
 
 def log_ratios(rows: DataFrame) -> DataFrame:
@@ -111,7 +111,8 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     sure = trusted.select(F.col("doc_id").alias("sure_id")).distinct()
     base = base_columns(docs).withColumn("row_no", F.monotonically_increasing_id())
     base = durable(base)
-    flagged = base.select("row_no", "doc_id", "grams").join(sure, F.col("doc_id") == F.col("sure_id"), "left")
+    # Shuffled at every size, in two bytes a word: the trusted ids have no bound that would allow a broadcast.
+    flagged = base.select("row_no", "doc_id", "grams").join(sure.hint("shuffle_hash"), F.col("doc_id") == F.col("sure_id"), "left")
     rows = flagged.select("row_no", F.col("sure_id").isNotNull().alias("trusted"), "grams")
     ratios = log_ratios(rows)
     # Fixed size, hence broadcast. A row's n-grams lie in one task, so partial sums leave one row per document.
