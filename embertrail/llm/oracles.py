@@ -139,4 +139,41 @@ OP2 = OP2.replace("CRC_STEPS", "\n".join(
     f"t{i} AS (SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM t{i - 1})," for i in range(1, 9)
 ))
 
-SQL = {"op4_url_markov": OP4, "op7_source_mix": OP7, "op2_quality_rules": OP2, "op10_line_dedup": OP10}
+# From every pair of rows in `pairs(a, b)` (both directions) to the smallest id that links lead to.
+REACH = """reach(id, other) AS (SELECT a, b FROM pairs UNION SELECT r.id, p.b FROM reach r JOIN pairs p ON p.a = r.other),
+roots AS (SELECT id, least(id, min(other)) AS root FROM reach GROUP BY id),
+counts AS (SELECT a AS id, count(*) AS n_links FROM pairs GROUP BY a)"""
+
+OP3 = f"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.label = y.label AND len(x.v) = len(y.v) AND x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.98),
+{REACH}
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts ON counts.id = vec_id LEFT JOIN roots ON roots.id = vec_id
+"""
+
+OP8 = rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' ')))) AS grams
+  FROM split WHERE len(words) > 0),
+grams AS (SELECT doc_id, len(grams) AS size, unnest(grams) AS gram FROM sets),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.size, y.size HAVING 5 * count(*) >= 4 * (x.size + y.size - count(*))),
+{REACH},
+alike AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY grams) AS class_id FROM sets)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(root, doc_id) AS component_id
+FROM documents LEFT JOIN alike USING (doc_id) LEFT JOIN counts ON counts.id = doc_id LEFT JOIN roots ON roots.id = doc_id
+"""
+
+SQL = {
+    "op2_quality_rules": OP2, "op3_hnsw_dedup": OP3, "op4_url_markov": OP4, "op7_source_mix": OP7, "op8_ngram_jaccard": OP8,
+    "op10_line_dedup": OP10,
+}
