@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from embertrail.llm.common import Remembered, by_slices, held_out
+from embertrail.session import durable
 
 TERMS, FACTORS = 1 << 17, 8
 # Lengths of the word beginnings that are terms of their own.
@@ -71,15 +72,6 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(terms, counts), -30, 30)))
 
 
-def associated(documents: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """For every term, whether its documents carry the label clearly more or less often than all do."""
-    flat = np.concatenate([*documents, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-    rows, marked = np.bincount(flat, minlength=TERMS), np.bincount(flat, weights=y[owner], minlength=TERMS)
-    share = y.mean()
-    return (rows >= LEAST_ROWS) & ((marked - rows * share) ** 2 >= ASSOCIATION * rows * share * (1 - share))
-
-
 def fit(documents: list[np.ndarray], y: np.ndarray) -> Machine:
     """The machine of documents (arrays of distinct terms) with labels 0 or 1, by AdaGrad on the log loss."""
     rng = np.random.default_rng(3)
@@ -88,11 +80,9 @@ def fit(documents: list[np.ndarray], y: np.ndarray) -> Machine:
     machine = Machine(float(np.log(p / (1 - p))), np.zeros(TERMS), np.zeros((TERMS, FACTORS)))
     if share in (0.0, 1.0):
         return machine
-    machine.factors = rng.normal(0, 0.01, (TERMS, FACTORS))
+    known = np.unique(np.concatenate(documents))
+    machine.factors[known] = rng.normal(0, 0.01, (len(known), FACTORS))
     grown_w, grown_v, grown_b = np.full(TERMS, 1e-2), np.full((TERMS, FACTORS), 1e-1), 1e-2
-    chosen = associated(documents, y)
-    machine.factors[~chosen] = 0
-    documents = [d[chosen[d]] for d in documents]
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
             counts = np.array([len(documents[i]) for i in rows])
@@ -143,8 +133,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "y", "terms"])
 
     labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = _with_terms(labelled, ["doc_id", "y"], "doc_id bigint, y int, terms array<int>", finish).toPandas().sort_values(["doc_id", "y"], kind="stable")
-    return fit([np.asarray(x, dtype=np.int64) for x in rows["terms"]], rows["y"].to_numpy())
+    rows = durable(_with_terms(labelled, ["doc_id", "y"], "doc_id bigint, y int, terms array<int>", finish))
+    told = np.zeros(TERMS, dtype=bool)
+    told[[r["term"] for r in associated_terms(rows).collect()]] = True  # at most TERMS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(told)
+
+    def only_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [[t for t in terms if shared.value[t]] for terms in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.int32()))], batch.schema.names)
+
+    held = rows.mapInArrow(only_told, rows.schema).toPandas().sort_values(["doc_id", "y"], kind="stable")
+    return fit([np.asarray(x, dtype=np.int64) for x in held["terms"]], held["y"].to_numpy())
+
+
+def associated_terms(rows: DataFrame) -> DataFrame:
+    """The terms of labelled `rows(y, terms)` whose documents carry the label clearly more or less often than all do."""
+    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("marked"))
+    share = rows.agg(F.avg("y").alias("share"))
+    gap = F.col("marked") - F.col("n") * F.col("share")
+    strong = gap * gap >= ASSOCIATION * F.col("n") * F.col("share") * (1 - F.col("share"))
+    return counts.crossJoin(F.broadcast(share)).filter((F.col("n") >= LEAST_ROWS) & strong).select("term")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.5, label: str = "toxic") -> DataFrame:
