@@ -87,6 +87,31 @@ def test_quality_rules_match_sql(spark, odd_documents, same_rows):
     assert untrusted == 0  # nothing is known of the target: the base rules decide
 
 
+def test_quality_scores_of_all_buckets_match_brute_force(spark, odd_documents):
+    """65,536 word and 2 ** 20 pair buckets: fewer would give other scores."""
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd_documents.selectExpr("doc_id + 1000000 AS doc_id", "text"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1 and toxic = 0")
+    sure = {r["doc_id"] for r in labels.collect()}
+
+    def grams(text):
+        words = [zlib.crc32(w) % 65536 for w in (text or "").encode().split()]
+        return words + [65536 + (a * 31 + b) % 2**20 for a, b in zip(words, words[1:])]
+
+    texts = [(r["doc_id"], grams(r["text"])) for r in docs.collect()]
+    corpus, target = Counter(g for _, x in texts for g in x), Counter(g for i, x in texts if i in sure for g in x)
+    share = [sum(n for g, n in target.items() if (g >= 65536) == k) / sum(n for g, n in corpus.items() if (g >= 65536) == k) for k in (False, True)]
+    ratio = {g: math.log(target[g] + 5) - math.log(n * share[g >= 65536] + 5) for g, n in corpus.items()}
+    want = {i: sum(ratio[g] for g in x) / len(x) if x else None for i, x in texts}
+    found = {r["doc_id"]: r for r in quality_rules.judge_quality(docs, labels.select("doc_id")).collect()}
+    assert len(found) == len(texts) and max(ratio) > 2 * 65536
+    assert all(found[i]["score"] is None if x is None else abs(found[i]["score"] - x) < 1e-9 for i, x in want.items())
+    full = {r["doc_id"]: r["kept"] for r in queries.QUERIES["op2_quality_rules_full"](spark, SF).collect()}
+    assert full and all(kept == (not found[i]["base_failed"] and found[i]["score"] >= -0.15) for i, kept in full.items() if found[i]["score"] is None or abs(found[i]["score"] + 0.15) > 0.01)
+
+
 def pages_of(spark):
     urls = [
         "https://WWW.Example.NET/en/a?x#y", "http://example.net/de/", "http://a.example.com/de/1", "http://example.com/de", "http://x.org/fr/2#f",
