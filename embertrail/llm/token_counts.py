@@ -6,7 +6,7 @@ characters: no position is read twice and no piece is built. A piece that may st
 differ by a marker; the walk starts in the start root and fails into the continuation root.
 
 Counting rule: a word's pieces are the longest match at its start, then the longest continuation, and so on. A word that
-cannot be matched to its end, or has more than MOST_CHARS characters, is one unknown token.
+cannot be matched to its end is one unknown token.
 
 Defined cases: a null or empty text has no words. Every row is counted by itself. An empty vocabulary makes every word
 unknown. Other columns are passed through; result names replace equal ones.
@@ -24,7 +24,6 @@ from embertrail.llm.common import Remembered, by_slices, utf8
 
 # Fixed: the marker that the pieces of the vocabulary file carry at the start of a word.
 MARKER = "▁"
-MOST_CHARS = 10_000
 START, CONTINUE = 0, 1
 
 
@@ -62,8 +61,6 @@ class PieceAutomaton:
 
     def pieces(self, word: str) -> int:
         """How many pieces the word has; 0 if it cannot be matched to its end."""
-        if len(word) > MOST_CHARS:
-            return 0
         node, count, following, link, popped = START, 0, self.next, self.link, self.popped
         for char in word:
             while (step := following[node].get(char)) is None:

@@ -156,6 +156,28 @@ def test_automaton_counts_the_longest_matches():
             assert automaton.pieces(word) == longest_match(word, starting, continuing)
 
 
+def test_long_words_are_counted_whole(spark):
+    rng = random.Random(4)
+    starting, continuing = {"a", "ab", "aba"}, {"a", "b", "ba", "bab", "漢", "漢字"}
+    words = ["a" + "".join(rng.choice(["a", "b", "ba", "漢字"]) for _ in range(n)) for n in (9_000, 10_000, 20_000)] + ["ab" * 5_000, "ab" * 5_000 + "a", "ab" * 6_000 + "x"]
+    want = [long_match(w, starting, continuing) for w in words]
+    assert any(len(w) > 10_000 and n > 1 for w, n in zip(words, want)) and want[-1] == 0
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in token_counts.count_tokens(docs, (sorted(starting), sorted(continuing))).collect()}
+    assert [(rows[i]["n_tokens"], rows[i]["n_unknown"]) for i in range(len(words))] == [(max(n, 1), int(n == 0)) for n in want]
+
+
+def long_match(word, starting, continuing):
+    """As longest_match, trying ends no further than the longest piece."""
+    at, count, pieces, most = 0, 0, starting, max(map(len, starting | continuing))
+    while at < len(word):
+        end = next((e for e in range(min(len(word), at + most), at, -1) if word[at:e] in pieces), None)
+        if end is None:
+            return 0
+        at, count, pieces = end, count + 1, continuing
+    return count
+
+
 def test_token_counts_match_brute_force(spark, odd_documents):
     import public_tokenizers
 
