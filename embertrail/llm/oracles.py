@@ -134,10 +134,63 @@ SELECT doc_id, size, source_size, target, CAST(size * times AS BIGINT) AS taken
 FROM docs JOIN taken ON docs.source IS NOT DISTINCT FROM taken.source AND docs.hash = taken.hash
 """
 
+OP11 = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+OP13 = r"""
+WITH texts AS (SELECT 'd' AS kind, row_number() OVER () AS row_no, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), item_id, text FROM benchmark),
+split AS (
+  SELECT kind, row_no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM texts),
+features AS (
+  SELECT kind, row_no, unnest(words) AS feature FROM split
+  UNION ALL SELECT kind, row_no, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM split WHERE len(words) > 1),
+t0 AS (SELECT range AS n, range AS c FROM range(256)),
+CRC_STEPS
+crc AS (SELECT list(c ORDER BY n) AS lookup FROM t8),
+spelled AS (
+  SELECT feature, list_transform(range(octet_length(encode(feature))), lambda i: CAST('0x' || substr(hex(encode(feature)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS octets
+  FROM (SELECT DISTINCT feature FROM features)),
+hashed AS (
+  SELECT feature, xor(list_reduce(list_concat([4294967295::BIGINT], octets), lambda a, o: xor(a >> 8, lookup[(xor(a, o) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM spelled, crc),
+counts AS (
+  SELECT bucket, count(*) FILTER (kind = 'd')::DOUBLE AS s, count(*) FILTER (kind = 't')::DOUBLE AS t FROM features JOIN hashed USING (feature) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counts),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM counts, totals),
+weights AS (
+  SELECT row_no, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+  FROM features JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY row_no),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM (SELECT * FROM texts WHERE kind = 'd') LEFT JOIN weights USING (row_no)),
+placed AS (
+  SELECT *, n_features >= 39 AS eligible, row_number() OVER (ORDER BY n_features >= 39 DESC, score DESC, doc_id NULLS LAST, n_features) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * (SELECT count(*) FROM placed WHERE eligible) // 100 THEN place END AS rank
+FROM placed
+"""
+
 # The table of CRC-32 (reflected polynomial 0xEDB88320), eight shifts per byte.
-OP2 = OP2.replace("CRC_STEPS", "\n".join(
+CRC_STEPS = "\n".join(
     f"t{i} AS (SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM t{i - 1})," for i in range(1, 9)
-))
+)
+OP2, OP13 = (text.replace("CRC_STEPS", CRC_STEPS) for text in (OP2, OP13))
 
 # From every pair of rows in `pairs(a, b)` (both directions) to the smallest id that links lead to.
 REACH = """reach(id, other) AS (SELECT a, b FROM pairs UNION SELECT r.id, p.b FROM reach r JOIN pairs p ON p.a = r.other),
@@ -175,5 +228,5 @@ FROM documents LEFT JOIN alike USING (doc_id) LEFT JOIN counts ON counts.id = do
 
 SQL = {
     "op2_quality_rules": OP2, "op3_hnsw_dedup": OP3, "op4_url_markov": OP4, "op7_source_mix": OP7, "op8_ngram_jaccard": OP8,
-    "op10_line_dedup": OP10,
+    "op10_line_dedup": OP10, "op11_hard_negatives": OP11, "op13_importance_resampling": OP13,
 }

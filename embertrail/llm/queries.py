@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from embertrail.llm import byte_bpe, hnsw_dedup, line_dedup, ngram_join, quality_net, quality_rules, source_mix, token_counts, toxicity_fm, url_markov
+from embertrail.llm import (
+    byte_bpe, hard_negatives, hnsw_dedup, importance_resampling, line_dedup, ngram_join, packing, quality_net, quality_rules, source_mix, token_counts,
+    toxicity_fm, url_markov,
+)
 from embertrail.llm.common import read
 
 
@@ -79,10 +82,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs, index, text=False)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    return packing.pack_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, ids=False)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_toxicity_fm, op2_quality_rules, op2_quality_rules_full, op3_hnsw_dedup, op4_url_markov, op5_quality_net, op6_byte_bpe, op7_source_mix,
-        op8_ngram_jaccard, op9_token_counts, op10_line_dedup,
+        op8_ngram_jaccard, op9_token_counts, op10_line_dedup, op11_hard_negatives, op12_packing, op13_importance_resampling,
     )
 }
