@@ -16,6 +16,7 @@ from embertrail.plans.embed import Provider, embed_logs
 from embertrail.plans.incidents import promote_anomalies
 from embertrail.schemas import LIVE_BATCHES
 from embertrail.session import durable
+from embertrail.sources.follow import follow_lines
 from embertrail.sources.lines import number_lines, stream_lines
 from embertrail.sources.logs import normalize_live_lines
 
@@ -103,21 +104,24 @@ class LiveTriage:
         return run_id
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """For `foreachBatch`, over rows of `stream_lines`. A batch keeps its run id, so a retry overwrites."""
+        """For `foreachBatch`, over rows of `stream_lines` or `follow_lines`. A batch keeps its run id, so a retry overwrites."""
         self._alerts = None
-        result = self.process_lines(number_lines(batch), self.run_of_batch(batch.sparkSession, batch_id))
+        lines = batch if "line_no" in batch.columns else number_lines(batch)
+        result = self.process_lines(lines, self.run_of_batch(batch.sparkSession, batch_id))
         if self.alert_path and self._alerts is not None:
             append_alerts(self._alerts, self.alert_path, batch_id)
         if self.on_batch:
             self.on_batch(result)
 
     def start(
-        self, spark: SparkSession, folder: str, checkpoint: str, every: str | None = "2 seconds", max_files: int | None = None
+        self, spark: SparkSession, folder: str, checkpoint: str, every: str | None = "2 seconds", max_files: int | None = None,
+        growing: bool = False,
     ) -> StreamingQuery:
-        """Follow a folder of rolled log files; `every=None` processes what is there and stops."""
+        """Follow a folder of rolled log files, or one whose files grow; `every=None` processes what is there and stops."""
         self.stream = checkpoint
         trigger = {"processingTime": every} if every else {"availableNow": True}
+        lines = follow_lines(spark, folder) if growing else stream_lines(spark, folder, max_files)
         return (
-            stream_lines(spark, folder, max_files).writeStream.foreachBatch(self.process_batch)
+            lines.writeStream.foreachBatch(self.process_batch)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start()
         )

@@ -25,6 +25,11 @@ history AS (
 run_list AS (SELECT DISTINCT run_id FROM history)""", STEPS[STEPS.index("steps AS"):], ANOMALIES, LAST_ANOMALIES)
 
 SQL = {
+    "growing_file_logs": with_tables(BASE, """lines AS (
+          SELECT service, event_type, '[' || service || '] ' || message || ' of ' || log_id AS text
+          FROM logs JOIN (SELECT event_id, event_type FROM events) e ON log_id = 'log-' || lpad(CAST(e.event_id AS VARCHAR), 12, '0'))""") + """
+        SELECT service, '[' || service || '] ' || event_type AS opening, count(*) AS n, count(DISTINCT text) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars
+        FROM lines GROUP BY ALL""",
     "live_stream_incidents": LIVE + "SELECT cluster_key, status, severity, title, current_size FROM found_incidents",
     "message_embeddings": """
         SELECT CAST(doc_id AS VARCHAR) AS log_id, CAST(length(text) AS DOUBLE) AS v0, CASE WHEN contains(text, 'the') THEN 1.0::DOUBLE ELSE 0 END AS v1,
