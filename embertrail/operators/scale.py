@@ -72,29 +72,39 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "row_no") -> Dat
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], carry: dict[str, Column] | None = None
+    df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], carry: dict[str, Column] | None = None,
+    previous: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Adds, per key, the running sums up to and including each row in `order` (total within a key).
+    """Adds, per key, the running sums up to and including each row in `order` (total within a key), and the values that
+    the columns of `previous` have in the row before (NULL in a key's first row).
 
     A plain window would bring a key's whole history into one task. Here rows are range-partitioned on (keys, order),
     so a long key spreads over many partitions: each partition sums its own rows, and every (key, partition) pair adds
     the totals of the key's earlier partitions.
     """
-    columns = {**sums, **(carry or {})}
-    placed = df.select("*", *[c.alias(f"_v_{n}") for n, c in columns.items()])
+    columns, before = {**sums, **(carry or {})}, previous or {}
+    placed = df.select("*", *[c.alias(f"_v_{n}") for n, c in columns.items()], *[c.alias(f"_p_{n}") for n, c in before.items()])
     placed = placed.orderBy(*[F.col(k) for k in keys], *order).withColumn("_mark", F.monotonically_increasing_id())
     placed = durable(placed).withColumn("_part", F.shiftright("_mark", 33))
-    local = Window.partitionBy("_part", *keys).orderBy("_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_part", *keys).orderBy("_mark")
+    local = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("_part", *keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    totals = placed.groupBy("_part", *keys).agg(
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+        *([F.max_by(F.struct(*[f"_p_{n}" for n in before]), "_mark").alias("_last")] if before else []),
+    )
     offsets = totals.select(
-        "_part", *keys, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        "_part", *keys, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *([F.last("_last").over(earlier).alias("_before")] if before else []),
+    )
+    summed = placed.select(
+        "*", *[F.sum(f"_v_{n}").over(local).alias(f"_s_{n}") for n in sums],
+        *([F.lag(F.struct(*[f"_p_{n}" for n in before])).over(inside).alias("_prior")] if before else []),
     )
-    summed = placed.select("*", *[F.sum(f"_v_{n}").over(local).alias(f"_s_{n}") for n in sums])
     joined = summed.join(offsets, ["_part", *keys])
     return joined.select(
         *[c for c in df.columns], *[(F.col(f"_s_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums],
-        *[F.col(f"_v_{n}").alias(n) for n in (carry or {})],
+        *[F.col(f"_v_{n}").alias(n) for n in (carry or {})], *[F.coalesce("_prior", "_before")[f"_p_{n}"].alias(n) for n in before],
     )
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from embertrail.functions.scoring import percent_change, regression_confidence, regression_reason
-from embertrail.operators.scale import lookup_join, widen
+from embertrail.operators.scale import lookup_join, running_sums
 from embertrail.session import durable
 
-# A deploy's whole window spans about this many time buckets.
-BUCKETS_PER_WINDOW = 32
+def _between(low: Column, high: Column) -> Column:
+    """The whole numbers above `low` up to `high`."""
+    return F.when(low < high, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>"))
 
 
 def window_counts(deploys: DataFrame, clustered: DataFrame, before_minutes: int, after_minutes: int) -> DataFrame:
@@ -20,49 +19,61 @@ def window_counts(deploys: DataFrame, clustered: DataFrame, before_minutes: int,
     `clustered` holds `(log_id, ts, service, cluster_id)`. The window is [d-before, d) and [d, d+after]; `first_seen` is
     the cluster's first log of any service.
 
-    Logs are first counted per (service, cluster, time bucket). Buckets wholly inside a window are added up from those
-    counts; raw logs are read again only for the (at most three) buckets a window's edges cut through. A busy service
-    therefore costs a deploy its number of clusters per bucket, not its number of logs.
+    Counts are differences of running counts, read at the three edges of each window. One sweep over a service's logs and
+    edges in time order numbers the deploys and tells each log how many windows have begun, reached their deploy and ended
+    before it. As all windows are equally long, these three numbers name the deploys on either side of the log. Logs of a
+    cluster between the same edges become one row; a second sweep adds up those rows per cluster. The cluster's running
+    count at an edge is that of its last row before it, so each row hands its predecessor's count to the edges that lie
+    between the two, and only to those of windows that hold either. A window thus costs three rows per cluster active in
+    it, however many logs, time buckets or other deploys lie inside.
     """
-    width = math.ceil((before_minutes + after_minutes) * 60_000_000 / BUCKETS_PER_WINDOW)
-
-    def bucket(ts: Column) -> Column:
-        micros = F.unix_micros(ts)
-        return F.floor((micros - F.pmod(micros, F.lit(width))) / F.lit(width)).cast("bigint")
-
-    logs = clustered.filter(F.col("ts").isNotNull() & (F.col("cluster_id") >= 0)).withColumn("bucket", bucket(F.col("ts")))
-    tallies = durable(
-        logs.groupBy("service", "cluster_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("bucket_first"))
+    moved = lambda minutes: F.col("deployed_at") + F.make_dt_interval(mins=F.lit(minutes))
+    known = deploys.filter(F.col("service").isNotNull() & F.col("deployed_at").isNotNull())
+    # At one instant windows begin and deploys happen before the logs, and windows end after them.
+    edges = known.select(
+        "service", F.col("deploy_id").alias("id"), F.lit(None).cast("bigint").alias("cluster_id"),
+        F.inline(F.array(
+            F.struct(moved(-before_minutes).alias("at"), F.lit(0).alias("kind")),
+            F.struct(F.col("deployed_at").alias("at"), F.lit(1).alias("kind")), F.struct(moved(after_minutes).alias("at"), F.lit(3).alias("kind")),
+        )),
     )
-    windows = deploys.select(
-        "deploy_id", "service", "deployed_at",
-        (F.col("deployed_at") - F.make_dt_interval(mins=F.lit(before_minutes))).alias("start"),
-        (F.col("deployed_at") + F.make_dt_interval(mins=F.lit(after_minutes))).alias("end"),
+    logs = clustered.filter(F.col("ts").isNotNull() & (F.col("cluster_id") >= 0))
+    events = logs.filter(F.col("service").isNotNull()).select("service", F.col("log_id").alias("id"), F.col("cluster_id").cast("bigint"), F.col("ts").alias("at"), F.lit(2).alias("kind"))
+    swept = durable(running_sums(
+        edges.unionByName(events), ["service"], [F.col("at"), F.col("kind"), F.col("id")],
+        {name: (F.col("kind") == kind).cast("bigint") for name, kind in (("begun", 0), ("deployed", 1), ("ended", 3))},
+    ))
+    numbered = swept.filter(F.col("kind") == 0).select("service", F.col("begun").alias("number"), F.col("id").alias("deploy_id"))
+
+    place = ["begun", "deployed", "ended"]
+    tallies = swept.filter(F.col("kind") == 2).groupBy("service", "cluster_id", *place).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
+    beyond = tallies.select("service", "cluster_id").distinct().select(
+        "*", *[F.lit(1 << 62).alias(name) for name in place], F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("timestamp").alias("first_at")
     )
-    first, middle, last = bucket(F.col("start")), bucket(F.col("deployed_at")), bucket(F.col("end"))
-
-    edges = windows.withColumn("bucket", F.explode(F.array_distinct(F.array(first, middle, last))))
-    is_after = F.col("ts") >= F.col("deployed_at")
-    cut = lookup_join(
-        logs.select("log_id", "service", "bucket", "cluster_id", "ts"), edges, ["service", "bucket"], ["log_id"]
-    ).filter(F.col("ts").between(F.col("start"), F.col("end"))).select(
-        "deploy_id", "cluster_id", F.when(is_after, 0).otherwise(1).alias("before"), F.when(is_after, 1).otherwise(0).alias("after"),
-        F.when(is_after, F.col("ts")).alias("after_ts"),
+    rows = running_sums(
+        tallies.unionByName(beyond), ["service", "cluster_id"], [F.col(name) for name in place], {"total": F.col("n")}, previous={f"{name}_0": F.col(name) for name in place}
+    ).withColumn("until", F.col("total") - F.col("n"))
+    begun, deployed, ended = (F.col(name) for name in place)
+    begun_0, deployed_0, ended_0 = (F.coalesce(f"{name}_0", F.lit(0).cast("bigint")) for name in place)
+    held = F.least(deployed, begun_0)  # deploys up to here have the row before in their window
+    spans = F.array(
+        F.struct(F.lit("begin").alias("edge"), F.greatest(begun_0, ended).alias("low"), begun.alias("high")),
+        F.struct(F.lit("deploy").alias("edge"), deployed_0.alias("low"), held.alias("high")),
+        F.struct(F.lit("deploy").alias("edge"), F.greatest(deployed_0, ended, held).alias("low"), deployed.alias("high")),
+        F.struct(F.lit("end").alias("edge"), ended_0.alias("low"), F.least(ended, begun_0).alias("high")),
     )
-
-    inside = F.filter(F.sequence(first, last), lambda b: (b > first) & (b < last) & (b != middle))
-    whole = windows.select("deploy_id", "service", middle.alias("middle"), F.explode(inside).alias("bucket"))
-    later = F.col("bucket") > F.col("middle")
-    full = lookup_join(widen(tallies, "service", "cluster_id", "bucket"), whole, ["service", "bucket"], ["cluster_id"]).select(
-        "deploy_id", "cluster_id", F.when(later, 0).otherwise(F.col("n")).alias("before"),
-        F.when(later, F.col("n")).otherwise(0).alias("after"), F.when(later, F.col("bucket_first")).alias("after_ts"),
+    spread = rows.select("service", "cluster_id", "until", "first_at", "ended", F.inline(spans)).filter(F.col("low") < F.col("high"))
+    read = spread.select("service", "cluster_id", "until", "first_at", "ended", "edge", F.explode(_between(F.col("low"), F.col("high"))).alias("number"))
+    at = lambda edge: F.max(F.when(F.col("edge") == edge, F.col("until")))
+    first_after = F.min(F.when((F.col("edge") == "deploy") & (F.col("number") > F.col("ended")), F.col("first_at")))
+    counts = read.groupBy("service", "number", "cluster_id").agg(
+        (at("deploy") - at("begin")).alias("before_count"), (at("end") - at("deploy")).alias("after_count"), first_after.alias("first_seen_after")
     )
-
-    counts = cut.unionByName(full).groupBy("deploy_id", "cluster_id").agg(
-        F.sum("before").alias("before_count"), F.sum("after").alias("after_count"), F.min("after_ts").alias("first_seen_after")
+    first_seen = logs.groupBy("cluster_id").agg(F.min("ts").alias("first_seen"))
+    named = lookup_join(counts, numbered, ["service", "number"], ["cluster_id"])
+    return lookup_join(named, first_seen, ["cluster_id"], ["deploy_id"]).select(
+        "deploy_id", "cluster_id", "before_count", "after_count", "first_seen_after", "first_seen"
     )
-    first_seen = tallies.groupBy("cluster_id").agg(F.min("bucket_first").alias("first_seen"))
-    return lookup_join(counts, first_seen, ["cluster_id"], ["deploy_id"])
 
 
 def classify(
