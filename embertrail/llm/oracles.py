@@ -35,15 +35,15 @@ spelled AS (
   SELECT w, list_transform(range(octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS octets
   FROM (SELECT DISTINCT w FROM word)),
 hashed AS (
-  SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], octets), lambda a, o: xor(a >> 8, lookup[(xor(a, o) & 255) + 1])), 4294967295::BIGINT) % 32768 AS b
+  SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], octets), lambda a, o: xor(a >> 8, lookup[(xor(a, o) & 255) + 1])), 4294967295::BIGINT) % 65536 AS b
   FROM spelled, crc),
 buckets AS (SELECT doc_id, i, b FROM word JOIN hashed USING (w)),
 grams AS (
   SELECT doc_id, b AS gram FROM buckets
-  UNION ALL SELECT doc_id, 32768 + (b * 31 + nxt) % 32768 FROM (SELECT *, lead(b) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM buckets) WHERE nxt IS NOT NULL),
+  UNION ALL SELECT doc_id, 65536 + (b * 31 + nxt) % 1048576 FROM (SELECT *, lead(b) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM buckets) WHERE nxt IS NOT NULL),
 trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
 counts AS (
-  SELECT gram, gram >= 32768 AS kind, count(*) AS corpus, count(trusted.doc_id) AS target
+  SELECT gram, gram >= 65536 AS kind, count(*) AS corpus, count(trusted.doc_id) AS target
   FROM grams LEFT JOIN trusted USING (doc_id) GROUP BY gram),
 totals AS (SELECT kind, sum(corpus) AS all_corpus, sum(target) AS all_target FROM counts GROUP BY kind),
 ratios AS (
@@ -227,6 +227,6 @@ FROM documents LEFT JOIN alike USING (doc_id) LEFT JOIN counts ON counts.id = do
 """
 
 SQL = {
-    "op2_quality_rules": OP2, "op3_hnsw_dedup": OP3, "op4_url_markov": OP4, "op7_source_mix": OP7, "op8_ngram_jaccard": OP8,
+    "op2_quality_rules": OP2, "op2_quality_rules_full": OP2, "op3_hnsw_dedup": OP3, "op4_url_markov": OP4, "op7_source_mix": OP7, "op8_ngram_jaccard": OP8,
     "op10_line_dedup": OP10, "op11_hard_negatives": OP11, "op13_importance_resampling": OP13,
 }

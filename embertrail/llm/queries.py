@@ -15,23 +15,15 @@ def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-# Fixed: the buckets of each n-gram length that the SQL of op2_quality_rules states, fewer than the operator's own.
-SQL_BUCKETS = 1 << 15
-
-
-def _judged(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     trusted = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
-    return quality_rules.judge_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), trusted, **how).drop("score")
-
-
-def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir, word_buckets=SQL_BUCKETS, pair_buckets=SQL_BUCKETS)
+    return quality_rules.judge_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), trusted).drop("score")
 
 
 def op2_quality_rules_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op2_quality_rules, with the operator's own buckets; no SQL states it."""
-    return _judged(spark, sf_dir)
+    """The earlier name of what op2_quality_rules does."""
+    return op2_quality_rules(spark, sf_dir)
 
 
 def op3_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
