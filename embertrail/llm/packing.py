@@ -20,8 +20,10 @@ packed row by row. An empty table gives no piece. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -37,9 +39,14 @@ WINDOW, END_ID = 4096, 2
 # Partly filled windows that a task keeps, with their ids.
 MOST_OPEN = 256
 # Words whose ids a worker remembers, and the longest that is remembered, in bytes.
-WORDS, WORD_BYTES = 600_000, 48
+WORDS, WORD_BYTES = 1_000_000, 48
+# Words that are encoded as one text.
+TOGETHER = 256
+# Marks that are a token of their own behind a letter, and how words of letters are split.
+MARKS = b".,;:!?"
+LEAN_STEPS = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 # Bytes of a text that are split into words at a time, and rows that are looked up together.
-PIECE_BYTES, ROWS = 1 << 20, 64
+PIECE_BYTES, ROWS = 1 << 20, 128
 BLANK = re.compile(rb"[ \t-\r]")
 COLUMNS = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -54,6 +61,14 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         self.tokenizer = Tokenizer.from_str(text)
+        plan = json.loads(text)
+        plan["normalizer"], plan["pre_tokenizer"] = None, {"type": "Sequence", "pretokenizers": LEAN_STEPS}
+        self.lean = Tokenizer.from_str(json.dumps(plan))
+        closing = plan["model"]["end_of_word_suffix"]
+        self.closing = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        self.closing[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(closing)]] = True
+        self.marks = {b"": b""}
+        self.marks.update((bytes([m]), self._encoded_each([bytes([m])])[0]) for m in MARKS)
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -63,18 +78,55 @@ class WordIds:
             cls._made[key] = cls(text)
         return cls._made[key]
 
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word. A word of ASCII letters, with at most one mark behind, needs neither normalizing beyond lower
+        case nor a pattern to be split by, so many of them go through the lean tokenizer as one text."""
+        plain, rest, out = [], [], {}
+        for word in words:
+            stem, mark = (word, b"") if word.isalpha() else (word[:-1], word[-1:])
+            if mark in self.marks and stem.isalpha():
+                plain.append((word, stem.lower().decode(), mark))
+            else:
+                rest.append(word)
+        groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+        encoded = self.lean.encode_batch_fast([" ".join(stem for _, stem, _ in group) for group in groups], add_special_tokens=False)
+        for group, e in zip(groups, encoded):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.closing[ids]) + 1)).tolist()  # every word has one closing token, its last
+            held = ids.tobytes()
+            out.update((word, held[low:high] + self.marks[mark]) for (word, _, mark), low, high in zip(group, [0, *ends], ends))
+        out.update(zip(rest, self._encoded_each(rest)))
+        return out
+
+    def _encoded_each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of any words, many in one text and told apart by where their tokens begin, which is sure as long as
+        normalizing leaves the characters in place."""
+        out = []
+        for at in range(0, len(words), TOGETHER):
+            part = [w.decode() for w in words[at : at + TOGETHER]]
+            text = " ".join(part)
+            if not unicodedata.is_normalized("NFC", text):
+                encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                out += [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+                continue
+            encoded = self.tokenizer.encode(text, add_special_tokens=False)
+            ids = np.array(encoded.ids, dtype="<u4").tobytes()
+            begins = np.cumsum([0, *(len(w) + 1 for w in part)])
+            cuts = (4 * np.searchsorted([first for first, _ in encoded.offsets], begins)).tolist()
+            out += [ids[low:high] for low, high in zip(cuts, cuts[1:])]
+        return out
+
     def _ids(self, groups: list[list[bytes]]) -> list[bytes]:
         """The ids of each group of words; what is not remembered is encoded once, all together."""
-        new = list({word for words in groups for word in words if word not in self.known})
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        fresh = {word: np.array(e.ids, dtype="<u4").tobytes() for word, e in zip(new, encoded)}
-        if len(self.known) + len(fresh) > WORDS:
-            fresh.update((word, self.known[word]) for words in groups for word in words if word in self.known)
-            self.known = {}
+        new = list(set().union(*groups).difference(self.known))
+        self.known.update(self._encoded(new))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in groups]
+        if len(self.known) > WORDS:
+            self.known.clear()
         else:
-            fresh = _Either(fresh, self.known)
-        out = [b"".join(map(fresh.__getitem__, words)) for words in groups]
-        self.known.update((word, ids) for word, ids in fresh.items() if len(word) <= WORD_BYTES)
+            for word in new:
+                if len(word) > WORD_BYTES:
+                    del self.known[word]
         return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
@@ -92,17 +144,6 @@ class WordIds:
         return b"".join(out)
 
 
-class _Either(dict):
-    """A dict that looks up missing keys in another one, without keeping them."""
-
-    def __init__(self, own: dict, other: dict):
-        super().__init__(own)
-        self.other = other
-
-    def __missing__(self, key):
-        return self.other[key]
-
-
 class Packer:
     """Packs documents one after another; finished sequences are lists of (document, start, ids)."""
 
