@@ -1,5 +1,5 @@
-"""Live triage: every micro-batch of new log lines is ingested, embedded, clustered with all earlier logs, checked for
-anomalies and folded into the incident table."""
+"""Live triage: every micro-batch of new log lines is ingested, embedded, compared with the earlier logs that lie near it,
+checked for anomalies and folded into the incident table."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from embertrail.operators.growing import GrowingClusters
 from embertrail.operators.tables import append_alerts, merge_table, of_latest_run, read_table, write_run
 from embertrail.plans.anomalies import detect_anomalies
-from embertrail.plans.clusters import cluster_logs
+from embertrail.plans.clusters import clustering_run
 from embertrail.plans.embed import Provider, embed_logs
 from embertrail.plans.incidents import promote_anomalies
 from embertrail.schemas import LIVE_BATCHES
@@ -58,9 +59,12 @@ class LiveTriage:
             return BatchResult(None, 0, 0, 0)
         merge_table(spark, self.root, "logs", logs, [F.col("ts"), F.col("raw")])
         all_logs = read_table(spark, self.root, "logs")
-        fresh = durable(embed_logs(all_logs, read_table(spark, self.root, "embeddings"), self.provider))
+        fresh = durable(embed_logs(logs, read_table(spark, self.root, "embeddings"), self.provider))
         merge_table(spark, self.root, "embeddings", fresh, [F.col("created_at")])
-        run = cluster_logs(all_logs, read_table(spark, self.root, "embeddings"), run_id, self.eps, self.min_samples)
+        rows = all_logs.select("log_id", "ts", "service", "message").join(read_table(spark, self.root, "embeddings").select("log_id", "vector"), "log_id")
+        clusters = GrowingClusters(f"{self.root.rstrip('/')}/growing-{self.eps:g}-{self.min_samples}", self.eps, self.min_samples)
+        labels = durable(clusters.add(rows.select("log_id", "ts", "vector"), run_id))
+        run = clustering_run(rows, labels, run_id, self.eps, self.min_samples)
         write_run(run.assignments, self.root, "assignments")
         write_run(run.snapshots, self.root, "cluster_history")
         write_run(run.run, self.root, "cluster_runs")
