@@ -299,6 +299,8 @@ SQL = {
         UNION ALL SELECT cluster_id, 'regression', {inst('deployed_at')}, regression_type || ' after ' || deploy_id, 'Regression ' || regression_id || ': ' || reason FROM ids
         UNION ALL SELECT cluster_id, 'incident', {inst('first_seen')}, 'Incident ' || incident_id || ' ' || status,
                   severity || ' incident for cluster ' || cluster_id || '; last_seen=' || {text_of('last_seen')} FROM incidents""",
+    "newest_incident_detail": with_tables(*REGRESSION_PROMOTION) + """
+        SELECT incident_id, status, evidence_type, details FROM evidence JOIN incidents USING (incident_id) WHERE incident_id = (SELECT max(incident_id) FROM incidents)""",
     "stored_regressions": with_tables(*REGRESSION_TABLES) + """
         SELECT regression_type, cluster_key, deploy_id, before_count, after_count,
                row_number() OVER (ORDER BY regression_type = 'reappearing_cluster' DESC, deployed_at, deploy_id, after_count DESC, cluster_id, regression_type) AS regression_id
@@ -327,3 +329,5 @@ SQL = {
           SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, log_id DESC) AS r FROM logs) WHERE r = 1""",
     **RECORD_SQL,
 }
+SQL["timeline_events"] = f"""
+    SELECT row_number() OVER (ORDER BY cluster_id, ts NULLS LAST, event_type, title, details) AS place, cluster_id, ts, event_type, title FROM ({SQL['cluster_timeline']})"""

@@ -234,9 +234,9 @@ def workflow_run_failures(spark: SparkSession, folder: str) -> DataFrame:
     return logs.select(F.get_json_object("raw", "$.run_id").alias("run_id"), "test_name", "workflow", "status", "message", "failure_signature", V.instant(F.col("ts")).alias("ts"))
 
 
-def evaluation_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as cases: a benchmark passage as root cause and its words as logs, against the text as report and the
-    source as trigger."""
+def evaluation_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """`(doc_id, case)`: documents as cases, a benchmark passage as root cause and its words as logs, against the text
+    as report and the source as trigger."""
     docs = V.table(spark, folder, "documents")
     items = V.table(spark, folder, "benchmark")
     total = items.agg(F.count(F.lit(1)).alias("total"))
@@ -250,11 +250,18 @@ def evaluation_metrics(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("after "), F.col("source"))).alias("predicted_trigger"), words.alias("logs"),
         F.when(F.col("doc_id") % 4 == 0, F.lit(9)).alias("baseline_triage_steps"), F.when(F.col("doc_id") % 5 == 0, F.lit(3)).alias("assisted_triage_steps"),
     )
-    cases = joined.select(F.try_parse_json(F.to_json(case)).alias("payload"))
+    return joined.select("doc_id", case.alias("case"))
+
+
+def rounded_metrics(cases: DataFrame) -> DataFrame:
     metrics = evaluate(case_columns(cases))
     return metrics.select("incident_count", *[F.round(c, 6).alias(c) for c in metrics.columns if c != "incident_count"])
 
 
+def evaluation_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded_metrics(evaluation_cases(spark, folder).select(F.try_parse_json(F.to_json("case")).alias("payload")))
+
+
 def generated_summary_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Every event as a one-log cluster whose summary text states some fields and leaves others out."""
     rows = V.events(spark, folder)
@@ -318,19 +325,19 @@ def vector_similarity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _vector_rows(spark: SparkSession, folder: str) -> DataFrame:
+def vector_rows(spark: SparkSession, folder: str) -> DataFrame:
     return V.table(spark, folder, "embeddings").select(
         F.format_string("%012d", "vec_id").alias("log_id"), F.lit(None).cast("timestamp").alias("ts"), F.col("embedding").cast("array<double>").alias("vector"), "vec_id"
     )
 
 
 def close_neighbour_counts(spark: SparkSession, folder: str) -> DataFrame:
-    points = _vector_rows(spark, folder).select(F.col("vec_id").alias("row_id"), F.lit(1).cast("bigint").alias("weight"), "vector")
+    points = vector_rows(spark, folder).select(F.col("vec_id").alias("row_id"), F.lit(1).cast("bigint").alias("weight"), "vector")
     return neighbour_counts(points, 0.6, V.CHECKED_TILE_ROWS).select(F.col("row_id").alias("vec_id"), "neighbours")
 
 
 def density_cluster_rows(spark: SparkSession, folder: str) -> DataFrame:
-    labels = density_clusters(_vector_rows(spark, folder).drop("vec_id"), 0.6, 2, V.CHECKED_TILE_ROWS)
+    labels = density_clusters(vector_rows(spark, folder).drop("vec_id"), 0.6, 2, V.CHECKED_TILE_ROWS)
     return labels.select(F.col("log_id").cast("bigint").alias("vec_id"), "cluster_id")
 
 

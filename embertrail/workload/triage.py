@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from embertrail.functions.signatures import message_signature
 from embertrail.operators.matching import best_matches
 from embertrail.operators.representatives import cluster_sessions, newest_messages, oldest_messages
-from embertrail.operators.scale import latest_wins
+from embertrail.operators.scale import latest_wins, number_rows
 from embertrail.plans.anomalies import detect_anomalies, detect_anomalies_by_run, history_baselines
 from embertrail.plans.clusters import centroids, cluster_snapshots, signature_clusters
 from embertrail.plans.deploys import correlate_deploys
 from embertrail.plans.incidents import (
+    incident_detail,
     Promotion, apply_status_changes, explain_incidents, promote_anomalies, promote_regressions,
 )
 from embertrail.plans.regressions import detect_regressions, merge_regressions, window_counts
@@ -234,6 +235,21 @@ def timeline(spark: SparkSession, folder: str) -> DataFrame:
     return events.select("cluster_id", "event_type", V.instant(F.col("ts")).alias("ts"), "title", "details")
 
 
+def timeline_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The timeline as a list: numbered by cluster and time, at one instant by kind and title."""
+    events = number_rows(timeline(spark, folder), [F.col("cluster_id"), F.asc_nulls_last("ts"), F.col("event_type"), F.col("title"), F.col("details")], "place")
+    return events.select("place", "cluster_id", "ts", "event_type", "title")
+
+
+def newest_incident_detail(spark: SparkSession, folder: str) -> DataFrame:
+    """The evidence of the incident with the largest id, looked up by that id, in recorded order."""
+    done = _promoted(spark, folder)[2]
+    incidents, evidence = durable(done.incidents), durable(done.evidence)
+    newest = incidents.agg(F.max("incident_id")).first()[0] or 0
+    found, lines = incident_detail(incidents, evidence, newest)
+    return lines.join(found.select("incident_id", "status"), "incident_id").select("incident_id", "status", "evidence_type", "details")
+
+
 def stored_regressions(spark: SparkSession, folder: str) -> DataFrame:
     """Regressions merged into a table that already holds the reappearing ones."""
     found = durable(_regressions(spark, folder))
@@ -292,6 +308,8 @@ QUERIES = {
     "incident_reports": incident_reports,
     "incident_summaries": incident_summaries,
     "cluster_timeline": timeline,
+    "timeline_events": timeline_events,
+    "newest_incident_detail": newest_incident_detail,
     "stored_regressions": stored_regressions,
     "cluster_summaries": cluster_summaries,
     "cluster_reports": cluster_report_texts,
