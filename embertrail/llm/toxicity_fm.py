@@ -38,14 +38,14 @@ TRAIN_ROWS = 30_000
 LEAST_ROWS, ASSOCIATION = 5, 10.0
 # Pairs: words at most so many places apart, neither in more than this share of the rows, and so strongly tied beyond their
 # words (chi square against the share of the more telling word).
-PAIR_REACH, COMMON, PAIR_ASSOCIATION = 8, 0.2, 25.0
+PAIR_REACH, COMMON, PAIR_ASSOCIATION = 5, 0.2, 25.0
 # Set on splits of the learning rows: what a missed row of label 1 weighs, and the spread of the factors at the start.
 LABEL_WEIGHT, START = 1.5, 0.1
 EPOCHS, BATCH, RATE, DECAY = 24, 256, 0.1, 2e-4
 # Steps at least, for small tables.
 LEAST_STEPS = 400
-# Documents whose pairs a task holds at a time.
-ROWS_OF_PAIRS = 32
+# Documents whose pairs a task holds at a time, and tasks that count pairs, so that none holds too many different ones.
+ROWS_OF_PAIRS, PAIR_TASKS = 32, 96
 WORD = re.compile(r"\w+")
 
 
@@ -55,7 +55,7 @@ def _word_terms(word: str) -> tuple[int, ...]:
 
 
 def _terms() -> Remembered:
-    return Remembered(_word_terms, 300_000)
+    return Remembered(_word_terms, 150_000)
 
 
 def document_terms(text: str, known: Remembered) -> list[int]:
@@ -164,8 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
 
     rows = durable(labelled.select("doc_id", "y", "text").mapInArrow(termed, "doc_id bigint, y int, terms array<int>, words array<int>"))
     counts = durable(rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("marked")))
-    told = np.zeros(TERMS, dtype=bool)
-    told[[r["term"] for r in associated_terms(rows, counts).unionByName(paired_terms(rows, counts)).collect()]] = True  # at most TERMS numbers each
+    told = flagged(associated_terms(rows, counts).unionByName(paired_terms(rows, counts)).distinct())
     shared = docs.sparkSession.sparkContext.broadcast(told)
 
     def only_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +173,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.int32()))], ["doc_id", "y", "terms"])
 
     held = rows.select("doc_id", "y", "terms").mapInArrow(only_told, "doc_id bigint, y int, terms array<int>").toPandas().sort_values(["doc_id", "y"], kind="stable")
-    return fit([np.asarray(x, dtype=np.int64) for x in held["terms"]], held["y"].to_numpy())
+    return fit(list(held["terms"]), held["y"].to_numpy())
+
+
+def flagged(terms: DataFrame) -> np.ndarray:
+    """A flag per term; `terms(term)` are distinct, so they are at most TERMS numbers."""
+    flags = np.zeros(TERMS, dtype=bool)
+    flags[terms.toPandas()["term"].to_numpy(dtype=np.int64)] = True
+    return flags
 
 
 def associated_terms(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -198,9 +204,7 @@ def paired_terms(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Both terms of every near pair of words that is tied to the label more strongly than its more telling word."""
     total, marked = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     some = counts.filter((F.col("n") >= LEAST_ROWS) & (F.col("n") <= max(LEAST_ROWS, COMMON * total))).select("term", "n", "marked")
-    usable = np.zeros(TERMS, dtype=bool)
-    usable[[r["term"] for r in some.collect()]] = True  # at most TERMS numbers
-    shared = rows.sparkSession.sparkContext.broadcast(usable)
+    shared = rows.sparkSession.sparkContext.broadcast(flagged(some.select("term")))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +214,7 @@ def paired_terms(rows: DataFrame, counts: DataFrame) -> DataFrame:
                 found = [near_pairs(np.where(shared.value[w], w, -1)) for w in words]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(y, [len(x) for x in found]), pa.int32()), pa.array(np.concatenate(found))], ["y", "pair"])
 
-    near = rows.select("y", "words").mapInArrow(pairs, "y int, pair bigint").groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("marked"))
+    near = rows.repartition(PAIR_TASKS, "doc_id").select("y", "words").mapInArrow(pairs, "y int, pair bigint").groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("marked"))
     often = near.filter(F.col("n") >= LEAST_ROWS).select(F.floor(F.col("pair") / TERMS).cast("int").alias("a"), (F.col("pair") % TERMS).cast("int").alias("b"), "n", "marked")
     rate = some.select("term", (F.col("marked") / F.col("n")).alias("rate"))  # at most TERMS rows, hence broadcast
     rated = often.join(F.broadcast(rate.select(F.col("term").alias("a"), F.col("rate").alias("rate_a"))), "a").join(F.broadcast(rate.select(F.col("term").alias("b"), F.col("rate").alias("rate_b"))), "b")
