@@ -37,13 +37,16 @@ from embertrail.llm.common import utf8
 
 WINDOW, END_ID = 4096, 2
 # Partly filled windows that a task keeps, with their ids.
-MOST_OPEN = 256
+MOST_OPEN = 1024
 # Words whose ids a worker remembers, and the longest that is remembered, in bytes.
 WORDS, WORD_BYTES = 1_000_000, 48
 # Words that are encoded as one text.
 TOGETHER = 256
 # Marks that are a token of their own behind a letter, and how words of letters are split.
-MARKS = b".,;:!?"
+MARKS = ".,;:!?"
+# Fixed: the first character beyond Latin letters whose composed form and lower case are one character each, and the one
+# letter before it whose lower case is two.
+LATIN_END, DOTTED = "\u0250", "\u0130"
 LEAN_STEPS = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 # Bytes of a text that are split into words at a time, and rows that are looked up together.
 PIECE_BYTES, ROWS = 1 << 20, 128
@@ -67,8 +70,7 @@ class WordIds:
         closing = plan["model"]["end_of_word_suffix"]
         self.closing = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
         self.closing[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(closing)]] = True
-        self.marks = {b"": b""}
-        self.marks.update((bytes([m]), self._encoded_each([bytes([m])])[0]) for m in MARKS)
+        self.marks = {"": b"", **{m: self._encoded_each([m.encode()])[0] for m in MARKS}}
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -79,13 +81,14 @@ class WordIds:
         return cls._made[key]
 
     def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of each word. A word of ASCII letters, with at most one mark behind, needs neither normalizing beyond lower
+        """The ids of each word. A word of Latin letters, with at most one mark behind, needs neither normalizing beyond lower
         case nor a pattern to be split by, so many of them go through the lean tokenizer as one text."""
         plain, rest, out = [], [], {}
         for word in words:
-            stem, mark = (word, b"") if word.isalpha() else (word[:-1], word[-1:])
-            if mark in self.marks and stem.isalpha():
-                plain.append((word, stem.lower().decode(), mark))
+            text = word.decode()
+            stem, mark = (text, "") if text.isalpha() else (text[:-1], text[-1])
+            if mark in self.marks and stem.isalpha() and (stem.isascii() or (max(stem) < LATIN_END and DOTTED not in stem)):
+                plain.append((word, stem.lower(), mark))
             else:
                 rest.append(word)
         groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
