@@ -151,7 +151,7 @@ class GrowingClusters:
         """`work` for the rows of `sent` in each leaf they come near, with the points that are at home there."""
         visitors = durable(visited_leaves(sent.select("row_id", "weight", "vector"), nodes, math.sqrt(2.0 * self.eps)))
         near = points.filter(~F.col("zero")).withColumn("node", F.col("leaf")).join(visitors.select("node").distinct(), "node", "left_semi")
-        return meet(visitors, near.select("node", "row_id", "weight", "core").join(vectors, "row_id"), work, schema, self.leaf_rows)
+        return meet(visitors, near.select("node", "row_id", "weight", "core").join(vectors, "row_id"), work, schema, TILE_ROWS, TILE_ROWS)
 
     def _united(self, points: DataFrame, edges: DataFrame) -> DataFrame:
         """Points with the groups that `edges` join made one, named by its smallest member."""
@@ -161,15 +161,15 @@ class GrowingClusters:
         return lookup_join(points, roots.select(F.col("row_id").alias("grp"), "root"), ["grp"], ["row_id"], "left").withColumn("grp", F.coalesce("root", "grp")).select(*points.columns)
 
     def _split(self, points: DataFrame, nodes: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Leaves of more than twice the rows a leaf should have are split, as the tree's nodes are."""
+        """Leaves of more than twice the rows a leaf should have are split, as the tree's nodes are, where that pays."""
         full = durable(points.filter(F.col("leaf").isNotNull()).groupBy("leaf").count().filter(F.col("count") > 2 * self.leaf_rows).select("leaf"))
         if full.isEmpty():
             return points, nodes
         crowded = points.join(full, "leaf", "left_semi").select("row_id", "weight", "leaf").join(vectors, "row_id")
         waiting = at_root(crowded.select("row_id", "weight", "vector", "leaf")).drop("node").join(crowded.select("row_id", F.col("leaf").alias("node")), "row_id")
-        leaves, made = split_nodes(durable(waiting.select("row_id", "weight", "vector", "node", "home", "grp")), 0.0, self.leaf_rows)
+        leaves, made = split_nodes(durable(waiting.select("row_id", "weight", "vector", "node", "home", "grp")), 0.0, self.leaf_rows, met_within=math.sqrt(2.0 * self.eps))
         moved = leaves.filter("home").select("row_id", F.col("node").alias("new_leaf"))
-        nodes = nodes.join(full.select(F.col("leaf").alias("child"), F.lit(True).alias("now_open")), "child", "left").withColumn("open", F.coalesce("now_open", "open")).select(*nodes.columns)
+        nodes = nodes.join(made.select(F.col("node").alias("child"), F.lit(True).alias("now_open")).distinct(), "child", "left").withColumn("open", F.coalesce("now_open", "open")).select(*nodes.columns)
         points_now = points.join(moved, "row_id", "left").withColumn("leaf", F.coalesce("new_leaf", "leaf")).select(*points.columns)
         return durable(points_now), durable(nodes.unionByName(made))
 
