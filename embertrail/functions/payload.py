@@ -6,23 +6,48 @@ number 0 from the text "0", so short values are looked at in their JSON form; lo
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, functions as F
 
 # The JSON forms of everything that counts as absent.
 FALSY_JSON = r'^(""|null|false|\[\]|\{\}|-?0(\.0*)?([eE].*)?)$'
 _LONGEST_FALSY = 8
+# How the texts of absent values and of booleans begin; a short text that begins otherwise needs no second look either.
+_DOUBTFUL = ("", "0", "-", "f", "t", "[", "{")
+
+
+class Fields(NamedTuple):
+    """A column that `taken_out` made; stands for the payload in the functions of this module."""
+
+    column: str
+
+
+Payload = Column | Fields
+
+
+def taken_out(payload: Column, *keys: str) -> Column:
+    """The values under `keys` as a struct of VARIANTs, in one pass over the payload; NULL unless it is an object.
+
+    A lookup by path goes through the payload's keys each time, which for a score of aliases costs more than parsing.
+    """
+    return F.try_variant_get(payload, "$", f"struct<{', '.join(f'`{key}`: variant' for key in dict.fromkeys(keys))}>")
 
 
-def raw_field(payload: Column, key: str) -> Column:
+def raw_field(payload: Payload, key: str) -> Column:
     """The value under `key` as VARIANT; SQL NULL only when the key is absent."""
+    if isinstance(payload, Fields):
+        return F.col(payload.column).getField(key)
     return F.try_variant_get(payload, f"$['{key}']", "variant")
 
 
-def has_key(payload: Column, key: str) -> Column:
+def has_key(payload: Payload, key: str) -> Column:
     return raw_field(payload, key).isNotNull()
 
 
-def _plain(payload: Column, key: str) -> Column:
+def _plain(payload: Payload, key: str) -> Column:
+    if isinstance(payload, Fields):
+        return F.try_variant_get(raw_field(payload, key), "$", "string")
     return F.try_variant_get(payload, f"$['{key}']", "string")
 
 
@@ -31,32 +56,32 @@ def _named_boolean(value: Column) -> Column:
     return F.try_element_at(names, F.to_json(value))
 
 
-def text_field(payload: Column, key: str) -> Column:
+def text_field(payload: Payload, key: str) -> Column:
     """The value under `key` as text, NULL when absent or JSON null; booleans print capitalized."""
     text = _plain(payload, key)
-    return F.when(F.length(text) > 5, text).otherwise(F.coalesce(_named_boolean(raw_field(payload, key)), text))
+    return F.when(text.isin("true", "false"), F.coalesce(_named_boolean(raw_field(payload, key)), text)).otherwise(text)
 
 
-def truthy_field(payload: Column, key: str) -> Column:
+def truthy_field(payload: Payload, key: str) -> Column:
     """The value under `key` as text, NULL when it is falsy. A single space counts as a value."""
     text = _plain(payload, key)
     value = raw_field(payload, key)
-    return F.when(F.length(text) > _LONGEST_FALSY, text).when(
+    return F.when((F.length(text) > _LONGEST_FALSY) | ~F.substring(text, 1, 1).isin(*_DOUBTFUL), text).when(
         ~F.to_json(value).rlike(FALSY_JSON), F.coalesce(_named_boolean(value), text)
     )
 
 
-def truthy_value(payload: Column, key: str) -> Column:
+def truthy_value(payload: Payload, key: str) -> Column:
     """The value under `key` as VARIANT, NULL when it is falsy."""
     value = raw_field(payload, key)
     return F.when(~F.to_json(value).rlike(FALSY_JSON), value)
 
 
-def first_truthy(payload: Column, *keys: str) -> Column:
+def first_truthy(payload: Payload, *keys: str) -> Column:
     return F.coalesce(*[truthy_field(payload, key) for key in keys])
 
 
-def first_truthy_or_last(payload: Column, *keys: str) -> Column:
+def first_truthy_or_last(payload: Payload, *keys: str) -> Column:
     """Like `first_truthy`, but the last alias is returned as it is, even when it is "" or 0."""
     return F.coalesce(*[truthy_field(payload, key) for key in keys[:-1]], text_field(payload, keys[-1]))
 
@@ -88,7 +113,8 @@ def string_list(value: Column) -> Column:
     by_comma = F.transform(F.split(text, ","), lambda item: strip_space(item))
     scalar = F.when(kind != "STRING", F.array(F.coalesce(_named_boolean(value), text)))
     every = F.coalesce(items, scalar, by_comma, F.array().cast("array<string>"))
-    return F.filter(every, lambda item: strip_space(item) != "")
+    none = F.array().cast("array<string>")
+    return F.when(value.isNull(), none).otherwise(F.filter(every, lambda item: strip_space(item) != ""))
 
 
 def json_text_list(text: Column) -> Column:

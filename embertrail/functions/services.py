@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from embertrail.functions.payload import first_truthy, strip_space
+from embertrail.functions.payload import Payload, first_truthy, strip_space
 
 # Where a service name may stand in a message (tried in this order), and words that are never one.
 SERVICE_PATTERNS = (
@@ -13,6 +13,7 @@ SERVICE_PATTERNS = (
     r"(?U)^\[([A-Za-z0-9._-]+)\]",
     r"(?U)^([A-Za-z0-9._-]+)\s*[:|-]",
 )
+NAMING_KEYS = ("logger", "component")
 NOT_SERVICES = ("info", "warn", "warning", "error", "debug", "trace", "stdout", "stderr")
 _NAME = rf"^(?!(?:{'|'.join(NOT_SERVICES)})\z)[a-z0-9._-]{{1,64}}\z"
 
@@ -27,6 +28,6 @@ def service_from_message(message: Column) -> Column:
     return F.coalesce(*[clean_service(F.regexp_extract(message, pattern, 1)) for pattern in SERVICE_PATTERNS])
 
 
-def infer_service(payload: Column, message: Column) -> Column:
+def infer_service(payload: Payload, message: Column) -> Column:
     """From the logger or component field, else from the message text."""
-    return F.coalesce(clean_service(first_truthy(payload, "logger", "component")), service_from_message(message))
+    return F.coalesce(clean_service(first_truthy(payload, *NAMING_KEYS)), service_from_message(message))

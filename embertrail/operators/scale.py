@@ -16,9 +16,12 @@ def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that later filters and projections read instead of repeating.
 
     The optimizer inlines a plain projected expression wherever a filter above uses it, which would parse a JSON text
-    once per looked-up key. Columns coming out of a generator are evaluated once per row.
+    once per looked-up key. Columns coming out of a generator are evaluated once per row. The generator itself only passes
+    on what a projection below it has made: projections run as compiled code that shares what is common to its columns,
+    generators that hold JSON, regular expression or lambda work do not.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+    made = df.select("*", F.struct(*[value.alias(name) for name, value in columns.items()]).alias("_made"))
+    return made.select("*", F.inline(F.array("_made"))).drop("_made")
 
 
 def widen(df: DataFrame, *by: str) -> DataFrame:

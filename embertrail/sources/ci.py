@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from embertrail.functions import payload as P
 from embertrail.functions.signatures import ci_signature
 from embertrail.functions.timestamps import parse_timestamp
 from embertrail.operators.scale import evaluate_once
-from embertrail.sources.logs import arrival_columns, _linked_columns, split_valid
+from embertrail.sources.logs import LINKED_KEYS, arrival_columns, _linked_columns, split_valid
 from embertrail.sources.payloads import read_payloads
 
+CI_MESSAGE_KEYS = ("message", "failure_message", "log", "error", "conclusion")
+CI_TIME_KEYS = ("timestamp", "started_at", "completed_at", "created_at")
+CI_KEYS = (
+    *CI_MESSAGE_KEYS, *CI_TIME_KEYS, *LINKED_KEYS, "test_name", "workflow", "failure_signature", "service", "level", "status", "source_type",
+)
+RUN_KEYS = (
+    "conclusion", "jobs_url", "name", "display_title", "head_sha", "head_branch", "id", "run_number", "html_url", "logs_url", "started_at",
+    "completed_at", "created_at", "updated_at",
+)
+JOB_KEYS = ("conclusion", "name", "id", "html_url", "logs_url", "started_at", "completed_at")
+# More characters than a text can hold.
+MOST_CHARS = 2**31 - 1
 FAILED_CONCLUSIONS = ("failure", "timed_out", "cancelled", "action_required")
 
 
-def _with_defaults(payload: Column, forced: dict[str, Column], defaults: dict[str, Column]) -> Column:
-    """Canonical JSON of the payload with fields forced, and others added where their key is absent."""
-    own = F.from_json(F.to_json(payload), "map<string,variant>")
-    own = F.map_filter(own, lambda key, _: ~key.isin(*forced))
-    added = {**forced, **{k: F.when(~P.has_key(payload, k), v) for k, v in defaults.items()}}
-    extra = F.from_json(F.to_json(F.struct(*[v.alias(k) for k, v in added.items()])), "map<string,variant>")
-    return F.to_json(F.try_parse_json(F.to_json(F.map_concat(own, extra))))
+def _with_defaults(text: Column, fields: P.Fields, forced: dict[str, Column], defaults: dict[str, Column]) -> Column:
+    """Canonical JSON of the payload, given by its JSON text and its fields, with fields forced, and others added where
+    their key is absent. Forced fields must not be NULL.
+
+    Where the payload has none of the forced fields, the additions are put in front of its text.
+    """
+    own = F.map_filter(F.from_json(text, "map<string,variant>"), lambda key, _: ~key.isin(*forced))
+    added = {**forced, **{k: F.when(~P.has_key(fields, k), v) for k, v in defaults.items()}}
+    more = F.to_json(F.struct(*[v.alias(k) for k, v in added.items()]))
+    replaced = F.to_json(F.map_concat(own, F.from_json(more, "map<string,variant>")))
+    behind = F.when(text == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.substring(text, 2, MOST_CHARS)))
+    put_in_front = F.concat(F.regexp_replace(more, r"\}\z", ""), behind)
+    clash = functools.reduce(Column.__or__, (P.has_key(fields, k) for k in forced))
+    return F.to_json(F.try_parse_json(F.when(clash, replaced).otherwise(put_in_front)))
 
 
 def normalize_ci(records: DataFrame, job_time: Column, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -29,13 +50,14 @@ def normalize_ci(records: DataFrame, job_time: Column, ordered: bool = False) ->
     Next to the log columns the result keeps what the failure patterns need: signature, test, workflow, status.
     """
     valid, rejected = split_valid(records)
-    payload = F.col("payload")
+    payload = P.Fields("fields")
+    valid = evaluate_once(valid, fields=P.taken_out(F.col("payload"), *CI_KEYS), own_text=P.canonical_json(F.col("payload")))
     message = F.coalesce(
-        P.first_truthy(payload, "message", "failure_message", "log", "error", "conclusion"), F.lit("CI failure")
+        P.first_truthy(payload, *CI_MESSAGE_KEYS), F.lit("CI failure")
     )
     rows = evaluate_once(
         valid, message=message, test_name=P.text_field(payload, "test_name"), workflow=P.text_field(payload, "workflow"),
-        time_text=P.first_truthy(payload, "timestamp", "started_at", "completed_at", "created_at"),
+        time_text=P.first_truthy(payload, *CI_TIME_KEYS),
     )
     test_name, workflow = F.nullif("test_name", F.lit("")), F.nullif("workflow", F.lit(""))
     rows = evaluate_once(rows, signature=ci_signature(test_name, workflow, F.col("message")))
@@ -43,7 +65,7 @@ def normalize_ci(records: DataFrame, job_time: Column, ordered: bool = False) ->
     rows = evaluate_once(
         rows, failure_signature=F.when(P.has_key(payload, "failure_signature"), stated).otherwise(F.col("signature")),
         raw=_with_defaults(
-            payload,
+            F.col("own_text"), payload,
             forced={"source_type": F.lit("ci")},
             defaults={
                 "service": F.lit("ci"), "level": F.lit("ERROR"), "message": F.col("message"), "failure_signature": F.col("signature"),
@@ -85,11 +107,11 @@ def failures_from_runs(runs: DataFrame, jobs: DataFrame, limit: int | None = Non
     """
     if limit is not None:
         runs = runs.orderBy("position").limit(limit)
-    run, job = F.col("run"), F.col("job")
-    failed_runs = runs.select(F.col("payload").alias("run")).filter(_failed(P.text_field(run, "conclusion"))).withColumn(
-        "jobs_url", P.truthy_field(run, "jobs_url")
-    )
-    failed_jobs = jobs.select("jobs_url", F.col("payload").alias("job")).filter(_failed(P.text_field(job, "conclusion")))
+    run, job = P.Fields("run"), P.Fields("job")
+    opened_runs = evaluate_once(runs.select("payload"), run=P.taken_out(F.col("payload"), *RUN_KEYS)).drop("payload")
+    opened_jobs = evaluate_once(jobs.select("jobs_url", "payload"), job=P.taken_out(F.col("payload"), *JOB_KEYS)).drop("payload")
+    failed_runs = opened_runs.filter(_failed(P.text_field(run, "conclusion"))).withColumn("jobs_url", P.truthy_field(run, "jobs_url"))
+    failed_jobs = opened_jobs.filter(_failed(P.text_field(job, "conclusion")))
     joined = evaluate_once(
         failed_runs.join(failed_jobs, "jobs_url", "left"), workflow=P.first_truthy(run, "name", "display_title"),
         job_name=P.truthy_field(job, "name"),
@@ -101,7 +123,7 @@ def failures_from_runs(runs: DataFrame, jobs: DataFrame, limit: int | None = Non
     )
 
     def own(key: str) -> Column:
-        return F.when(job.isNotNull(), P.text_field(job, key)).otherwise(P.text_field(run, key))
+        return F.when(F.col("job").isNotNull(), P.text_field(job, key)).otherwise(P.text_field(run, key))
 
     record = F.struct(
         workflow.alias("workflow"),

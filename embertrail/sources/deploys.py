@@ -10,13 +10,21 @@ from embertrail.operators.scale import evaluate_once
 from embertrail.sources.logs import SERVICE_KEYS, arrival_columns, split_valid
 from embertrail.sources.payloads import read_payloads
 
+DEPLOY_TIME_KEYS = ("deployed_at", "timestamp", "time", "@timestamp")
+FILE_KEYS = ("changed_files", "files", "modified_files")
+DEPLOY_KEYS = (
+    *DEPLOY_TIME_KEYS, *FILE_KEYS, *SERVICE_KEYS, "id", "deployment_id", "commit_sha", "sha", "commit", "version", "release", "build",
+    "environment", "env", "branch", "ref", "repo_url", "repository", "html_url", "provider", "source",
+)
+
 
 def normalize_deploys(records: DataFrame, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """(deploys, rejected): a usable time and a service are required. With `ordered` deploys also carry `arrival`."""
-    payload = F.col("payload")
-    files = F.coalesce(*[P.truthy_value(payload, key) for key in ("changed_files", "files", "modified_files")])
+    payload = P.Fields("fields")
+    opened = evaluate_once(records, fields=P.taken_out(F.col("payload"), *DEPLOY_KEYS))
+    files = F.coalesce(*[P.truthy_value(payload, key) for key in FILE_KEYS])
     named = evaluate_once(
-        records, time_text=P.first_truthy(payload, "deployed_at", "timestamp", "time", "@timestamp"),
+        opened, time_text=P.first_truthy(payload, *DEPLOY_TIME_KEYS),
         service=P.first_truthy(payload, *SERVICE_KEYS),
     )
     named = evaluate_once(named, deployed_at=parse_timestamp(F.col("time_text")))
@@ -25,7 +33,7 @@ def normalize_deploys(records: DataFrame, ordered: bool = False) -> tuple[DataFr
     )
     valid, rejected = split_valid(named.withColumn("problem", F.coalesce("problem", problem)))
     valid = evaluate_once(
-        valid, commit_sha=P.first_truthy_or_last(payload, "commit_sha", "sha", "commit"), raw=P.canonical_json(payload), files=files
+        valid, commit_sha=P.first_truthy_or_last(payload, "commit_sha", "sha", "commit"), raw=P.canonical_json(F.col("payload")), files=files
     )
     identifier = F.coalesce(
         P.first_truthy(payload, "id", "deployment_id"), F.nullif("commit_sha", F.lit("")), P.content_hash(F.col("raw"), 16)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from embertrail.functions import payload as P
-from embertrail.functions.services import infer_service, service_from_message, strip_space
+from embertrail.functions.services import NAMING_KEYS, infer_service, service_from_message, strip_space
 from embertrail.functions.timestamps import parse_timestamp
 from embertrail.operators.scale import evaluate_once
 from embertrail.schemas import LOGS
@@ -15,9 +15,11 @@ from embertrail.sources.payloads import format_of, read_payloads
 MESSAGE_KEYS = ("message", "msg", "log", "event")
 TIME_KEYS = ("timestamp", "ts", "time", "@timestamp")
 SERVICE_KEYS = ("service", "service_name", "app")
+LINKED_KEYS = ("session_id", "deploy_id", "commit_sha", "sha", "branch", "changed_files")
+LOG_KEYS = (*MESSAGE_KEYS, *TIME_KEYS, *SERVICE_KEYS, *NAMING_KEYS, "level", "severity", *LINKED_KEYS)
 
 
-def _linked_columns(payload: Column) -> list[Column]:
+def _linked_columns(payload: P.Payload) -> list[Column]:
     return [
         P.text_field(payload, "session_id").try_cast("bigint").alias("session_id"),
         P.text_field(payload, "deploy_id").alias("deploy_id"),
@@ -39,12 +41,13 @@ def arrival_columns(records: DataFrame) -> list[Column]:
 
 def normalize_logs(records: DataFrame, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """(logs, rejected) from payload rows; with `ordered` the logs also carry `arrival`, their place in the input."""
-    payload = F.col("payload")
-    named = evaluate_once(records, message=P.first_truthy(payload, *MESSAGE_KEYS)).withColumn(
+    payload = P.Fields("fields")
+    opened = evaluate_once(records, fields=P.taken_out(F.col("payload"), *LOG_KEYS))
+    named = evaluate_once(opened, message=P.first_truthy(payload, *MESSAGE_KEYS)).withColumn(
         "problem", F.coalesce("problem", F.when(F.col("message").isNull(), F.lit("no message field")))
     )
     valid, rejected = split_valid(named)
-    valid = evaluate_once(valid, raw=P.canonical_json(payload), time_text=P.first_truthy(payload, *TIME_KEYS))
+    valid = evaluate_once(valid, raw=P.canonical_json(F.col("payload")), time_text=P.first_truthy(payload, *TIME_KEYS))
     logs = valid.select(
         P.log_id(F.col("raw"), F.col("message")).alias("log_id"),
         parse_timestamp(F.col("time_text")).alias("ts"),
@@ -95,9 +98,10 @@ def normalize_live_lines(lines: DataFrame, arrived_at: Column, service: str | No
     parsed = F.when(line.startswith("{"), F.try_parse_json(line))
     text_object = F.to_json(F.struct(line.alias("message")))
     is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
-    payload = F.col("payload")
+    payload = P.Fields("fields")
     rows = evaluate_once(lines.withColumn("line", strip_space(F.col("line"))).filter(F.col("line") != ""), parsed=parsed)
     rows = evaluate_once(rows, payload=F.when(is_object, F.col("parsed")).otherwise(F.try_parse_json(text_object)))
+    rows = evaluate_once(rows, fields=P.taken_out(F.col("payload"), *LOG_KEYS))
     rows = evaluate_once(rows, message=P.first_truthy(payload, *MESSAGE_KEYS)).filter(F.col("message").isNotNull())
     rows = evaluate_once(
         rows, time_text=P.first_truthy(payload, *TIME_KEYS),
@@ -114,6 +118,6 @@ def normalize_live_lines(lines: DataFrame, arrived_at: Column, service: str | No
         F.coalesce(P.truthy_field(payload, "service"), given, F.col("named")).alias("service"),
         P.first_truthy_or_last(payload, "level", "severity").alias("level"),
         "message",
-        P.canonical_json(payload).alias("raw"),
+        P.canonical_json(F.col("payload")).alias("raw"),
         *linked,
     )
