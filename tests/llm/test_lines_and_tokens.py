@@ -105,6 +105,23 @@ def tiktoken_ids():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def test_bpe_looks_words_up_once_whatever_stands_around_them(tokenizer, tiktoken_ids, monkeypatch):
+    texts = ["one two\nthree, four", "two one. four\none", "three\n\ntwo  one\t", " one", "one\x1c two\u00a0", "\n", "", "l'été d'one 'two'"]
+    codec, seen = byte_bpe.Codec(tokenizer), []
+    encoded = codec._encoded
+    monkeypatch.setattr(codec, "_encoded", lambda matches: seen.extend(matches) or encoded(matches))
+    for _ in range(2):
+        for text in texts:
+            packed = codec.packed([text])[0]
+            assert np.frombuffer(packed, "<u4").tolist() == tiktoken_ids(text) and codec.decoded(packed).decode() == text
+            assert codec.listed(packed) == ",".join(map(str, tiktoken_ids(text)))
+    assert len(seen) == len(set(seen)) and " one" in seen
+    monkeypatch.setattr(byte_bpe, "PIECES", 3)
+    monkeypatch.setattr(byte_bpe, "PIECE_CHARS", 3)
+    assert codec.ids(texts) == codec.ids(texts) == [tiktoken_ids(text) for text in texts]
+    assert np.concatenate([np.frombuffer(x, "<u4") for x in codec.packed(texts)]).tolist() == [i for text in texts for i in tiktoken_ids(text)]
+
+
 def test_bpe_gives_the_ids_of_a_merge_by_rank(tokenizer, tiktoken_ids):
     rng = random.Random(3)
     pool = "ab e\n\t'sdlm-.é漢字😀🏽‍\u0085　ñ12٣½\x00<|endoftext|>"
