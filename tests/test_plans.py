@@ -285,3 +285,15 @@ def test_timeline_and_sessions(spark):
     assert got == {1: ("make", 2, ended, ["f"]), 2: ("run", None, None, [])}
     assert [f.name for f in RUN_SESSIONS.fields] == folded.columns
     assert of_latest_run(runs(spark, 1, 2).withColumn("x", F.lit(1)), runs(spark, 1, 2)).count() == 1
+
+
+def test_snapshots_of_a_run_scan_what_it_kept_not_the_logs_again(spark, tmp_path):
+    from embertrail.plans.clusters import cluster_logs
+
+    rows = [(f"l{i}", f"2024-01-01 00:00:0{i}", "api", "red" if i < 3 else "blue", [1.0, 0.0] if i < 3 else [0.0, 1.0]) for i in range(6)]
+    given = spark.createDataFrame(rows, "log_id string, ts string, service string, message string, vector array<double>")
+    given.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "logs"))
+    logs = spark.read.parquet(str(tmp_path / "logs"))
+    run = cluster_logs(logs, logs.select("log_id", "vector"), run_id=1, min_samples=2)
+    assert not any(str(tmp_path) in file for file in run.snapshots.inputFiles())
+    assert sorted((r["example_message"], r["log_count"]) for r in run.snapshots.collect()) == [("blue", 3), ("red", 3)]
